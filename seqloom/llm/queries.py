@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import op01_lines, op02_bpe, op04_quality, op06_simhash, op10_pii
+from seqloom.llm import op01_lines, op02_bpe, op03_decontaminate, op04_quality, op06_simhash, op10_pii
 from seqloom.llm.common import table
 from seqloom.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -17,6 +17,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_bpe.digests(op02_bpe.encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_quality.verdicts(op04_quality.ledger(table(spark, sf_dir, "documents")))
 
@@ -29,4 +33,4 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_pii.digests(op10_pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op4_quality_rules, op6_simhash_groups, op10_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op3_decontamination, op4_quality_rules, op6_simhash_groups, op10_pii_spans)}
