@@ -10,6 +10,8 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.session import ship
+
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch stays small.
 ARROW_ROWS = 512
 
@@ -19,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size for this session, so that batches of long texts fit in memory."""
+    """Prepare a session for Python workers: they get this package, and batches of long texts that fit in memory."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
