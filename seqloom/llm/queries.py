@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import op01_lines, op02_bpe, op03_decontaminate, op04_quality, op06_simhash, op07_lm, op08_warc, op09_html, op10_pii
+from seqloom.llm import op01_lines, op02_bpe, op03_decontaminate, op04_quality, op05_ids, op06_simhash, op07_lm, op08_warc, op09_html, op10_pii
 from seqloom.llm.common import table
 from seqloom.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -25,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_quality.verdicts(op04_quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_ids.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_simhash.digests(op06_simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -46,4 +50,4 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_pii.digests(op10_pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op3_decontamination, op4_quality_rules, op6_simhash_groups, op7_lm_scores, op8_warc_round_trip, op9_html_main_text, op10_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe_round_trip, op3_decontamination, op4_quality_rules, op5_token_id_files, op6_simhash_groups, op7_lm_scores, op8_warc_round_trip, op9_html_main_text, op10_pii_spans)}
