@@ -25,10 +25,15 @@ OVERLAPPING = ["ana", "aa", "oè"]
 MIXED_CASE = ["THE ", "Ana", "éLe"]
 
 _PATTERNS = "patterns as (select distinct substr(text, 1, 31) as pattern from benchmark where text <> '')"
-_HITS = """hits as (
-  select doc_id as rec_no, pattern, strlen(left(text, i - 1))::bigint as position
-  from (select doc_id, text, pattern, unnest(range(1, length(text) - length(pattern) + 2)) as i from documents join patterns on contains(text, pattern))
-  where substr(text, i, length(pattern)) = pattern)"""
+# Candidates are where a pattern's first character stands: the cumulative lengths of the pieces between them.
+_HITS = """pieces as (
+  select doc_id, pattern, unnest(string_split(text, left(pattern, 1))) as piece, generate_subscripts(string_split(text, left(pattern, 1)), 1) as n
+  from documents join patterns on contains(text, pattern)),
+starts as (
+  select doc_id, pattern, sum(length(piece) + 1) over w as i, (sum(strlen(piece) + strlen(left(pattern, 1))) over w - strlen(left(pattern, 1)))::bigint as position
+  from pieces window w as (partition by doc_id, pattern order by n)),
+hits as (
+  select doc_id as rec_no, pattern, position from starts join documents using (doc_id) where substr(text, i::bigint, length(pattern)) = pattern)"""
 _COUNTS = "counts as (select p.pattern, count(h.pattern) as count from patterns p left join hits h using (pattern) group by p.pattern)"
 _LITERALS = "patterns as (select unnest(['ana', 'aa', 'oè']) as pattern)"
 
@@ -130,14 +135,11 @@ def summary(spark, sf_dir):
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query(
-    _sql(
-        "patterns as (select unnest(['THE ', 'Ana', 'éLe']) as pattern)",
-        then=f"""select doc_id as rec_no, pattern, strlen(left(text, i - 1))::bigint as position
-from (select doc_id, text, pattern, unnest(range(1, length(text) - length(pattern) + 2)) as i from documents, patterns)
-where {_FOLD.format("substr(text, i, length(pattern))")} = {_FOLD.format("pattern")}""",
-    )
-)
+_FOLDED = """spelt as (select unnest(['THE ', 'Ana', 'éLe']) as spelling), documents as (select doc_id, {} as text from main.documents),
+patterns as (select distinct {} as pattern from spelt)""".format(_FOLD.format("text"), _FOLD.format("spelling"))
+
+
+@query(_sql(_FOLDED, _HITS, then=f"select rec_no, spelling as pattern, position from hits join spelt on pattern = {_FOLD.format('spelling')}"))
 def hits_case_insensitive(spark, sf_dir):
     q = pats.plan(pats.prepare(MIXED_CASE), case_insensitive=True)
     return matching.hits(_records(spark, sf_dir), q).select(*_PLAIN)
@@ -163,7 +165,7 @@ def patterns_canonical_lower(spark, sf_dir):
     return pats.prepare_frame(_pattern_frame(spark, sf_dir), one_strand=True, lowercase=True)
 
 
-@query(_sql(_PATTERNS, then="select distinct upper(pattern) as pattern from patterns"))
+@query(_sql(_PATTERNS, then="select distinct upper(replace(pattern, 'ß', 'ss')) as pattern from patterns"))
 def patterns_upper(spark, sf_dir):
     return pats.prepare_frame(_pattern_frame(spark, sf_dir), uppercase=True)
 
