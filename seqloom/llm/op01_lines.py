@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpoint, shared_dir, stored
+from seqloom.llm.common import shared_dir, stored
 
 #: Words from which on a repeated run of lines is deleted.
 MIN_WORDS = 50
@@ -53,6 +53,7 @@ def runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_word
     source = lines(df, id_col, text_col)
     # Step 0: the name of a line is its first place. Lines without a second copy leave here.
     names = source.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1").drop("n")
+    names = stored(names, f"{home}/names0")
     shared = source.join(names, ["h", "g"]).select("doc", "p", "at", "w", "first").repartition("doc").distinct()
     # Islands: consecutive lines that all repeat. Those with too few words can hold no run.
     island = shared.withColumn("island", F.col("p") - F.dense_rank().over(Window.partitionBy("doc").orderBy("p")))
@@ -75,38 +76,44 @@ def runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_word
         placed.where("back is not null").select("doc", "back.p", "back.n", "back.at", F.col("at").alias("end"))
     ).distinct()
     wanted = stored(wanted.withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")), f"{home}/wanted")
-    top = wanted.agg(F.max("k")).first()[0]
-    rank = placed.select("doc", "p", "d", "q")
-    found = []
-    for k in range((top if top is not None else -1) + 1):
+    lengths = [r.k for r in wanted.select("k").distinct().collect()]  # at most log2(min_words) + 1 numbers
+    rank, out = placed.select("doc", "p", "d", "q"), spark.createDataFrame([], _RUN)
+    out.write.parquet(f"{home}/runs")
+    for k in range(max(lengths, default=-1) + 1):
         if k:
-            rank = checkpoint(_doubled(rank, 1 << (k - 1)))
-        found.append(_repeated(wanted.where(F.col("k") == k), rank, 1 << k))
-    if not found:
-        return spark.createDataFrame([], "doc long, at int, end int, first_doc long, first_at int, first_end int")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _doubled(rank: DataFrame, half: int) -> DataFrame:
-    """Names of twice the length: the first place of each pair of neighbouring names that occurs twice."""
+            rank = _doubled(rank, 1 << (k - 1), f"{home}/{{}}{k}")
+        if k in lengths:
+            _repeated(wanted.where(F.col("k") == k), rank, 1 << k, f"{home}/{{}}{k}").write.mode("append").parquet(f"{home}/runs")
+    return spark.read.schema(_RUN).parquet(f"{home}/runs")
+
+
+_RUN = "doc long, at int, end int, first_doc long, first_at int, first_end int"
+
+
+def _doubled(rank: DataFrame, half: int, home: str) -> DataFrame:
+    """Names of twice the length: the first place of each pair of neighbouring names that occurs twice.
+
+    The names are written before they are joined: AQE then splits the tasks of those that very many places have.
+    """
     next_one = rank.select("doc", (F.col("p") - half).alias("p"), F.col("d").alias("d2"), F.col("q").alias("q2"))
     pairs = rank.join(next_one, ["doc", "p"])
     key = ["d", "q", "d2", "q2"]
     names = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "p")).alias("first")).where("n > 1").drop("n")
-    return pairs.join(names, key).select("doc", "p", F.col("first.doc").alias("d"), F.col("first.p").alias("q")).distinct()
+    named = pairs.join(stored(names, home.format("names")), key).select("doc", "p", F.col("first.doc").alias("d"), F.col("first.p").alias("q"))
+    return stored(named, home.format("rank"))
 
 
-def _repeated(wanted: DataFrame, rank: DataFrame, width: int) -> DataFrame:
+def _repeated(wanted: DataFrame, rank: DataFrame, width: int, home: str) -> DataFrame:
     """The wanted runs, of width to 2 * width - 1 lines, that stand earlier too."""
-    tail = rank.select("doc", F.col("p").alias("tail"), F.col("d").alias("d2"), F.col("q").alias("q2"))
-    named = wanted.join(rank, ["doc", "p"]).withColumn("tail", F.col("p") + F.col("n") - width).join(tail, ["doc", "tail"])
-    key = ["n", "d", "q", "d2", "q2"]
+    named = wanted.join(rank, ["doc", "p"]).withColumn("tail", F.col("p") + F.col("n") - width)
+    if width > 1:
+        tail = rank.select("doc", F.col("p").alias("tail"), F.col("d").alias("d2"), F.col("q").alias("q2"))
+        named = named.join(tail, ["doc", "tail"])
+    key = ["n", "d", "q"] + ["d2", "q2"] * (width > 1)
     interval = named.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "p", "at", "end")).alias("first")).where("copies > 1")
-    return named.join(interval, key).where("first.doc <> doc or first.p <> p").select(
-        "doc", "at", "end", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"), F.col("first.end").alias("first_end")
+    return named.join(stored(interval, home.format("interval")), key).where("first.doc <> doc or first.p <> p").select(
+        "doc", F.col("at").cast("int").alias("at"), F.col("end").cast("int").alias("end"),
+        F.col("first.doc").alias("first_doc"), F.col("first.at").cast("int").alias("first_at"), F.col("first.end").cast("int").alias("first_end"),
     )
 
 
