@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,3 +83,8 @@ def open_shared(uri: str, mode: str):
 def text_of(name: str) -> Column:
     """A text column as string, a null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` has it inside a lambda over many elements."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import shared_dir, stored
+from seqloom.llm.common import let, shared_dir, stored
 
 #: Words from which on a repeated run of lines is deleted.
 MIN_WORDS = 50
@@ -140,14 +140,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
         mine += "_"
     joined = df.join(cut.select(F.col("doc").alias(f"{mine}_doc"), F.col("cut").alias(mine)), F.col(id_col) == F.col(f"{mine}_doc"), "left")
     text, spans = F.col(text_col), F.col(mine)
-    parts = F.split(text, "\n", -1)
 
-    def kept_before(i):
+    def kept_before(parts, i):
         begin = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"] + 1)
         end = F.coalesce(F.get(spans, i)["at"], F.size(parts))
         return F.slice(parts, begin + 1, F.greatest(end - begin, F.lit(0)))
 
-    rest = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), kept_before)), "\n")
+    left = let(F.split(text, "\n", -1), lambda parts: F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: kept_before(parts, i))))
+    rest = F.array_join(left, "\n")
     gone = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["at"] + 1)
     clean = F.when(spans.isNotNull(), rest).otherwise(text)
     n_deleted = F.when(spans.isNotNull(), gone).otherwise(F.lit(0).cast("long"))

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import let
+
 #: Elements that are summed in one go; see :func:`prefix_sums`.
 CHUNK = 512
 #: Code points looked at before and after a candidate for context words.
@@ -53,13 +55,18 @@ BASE = tuple(k.name for k in KINDS if k.base)
 
 def prefix_sums(lengths: Column) -> Column:
     """[0, l1, l1+l2, ...] of an array of lengths, in chunks so that long arrays don't cost their square."""
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
-
     def running(xs, start):
         return F.aggregate(xs, F.array(start.cast("int")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    sums = F.transform(chunks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x))
-    return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), F.slice(running(sums, F.lit(0)), F.lit(1), F.size(chunks)).alias("b")), lambda z: F.slice(running(z["c"], z["b"]), F.lit(2), F.lit(CHUNK))))
+    def summed(chunks):
+        sums = F.transform(chunks, lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x))
+        starts = F.slice(running(sums, F.lit(0)), F.lit(1), F.size(chunks))
+        return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), starts.alias("b")), lambda z: F.slice(running(z["c"], z["b"]), F.lit(2), F.lit(CHUNK))))
+
+    def cut(xs):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)))
+
+    return let(lengths, lambda xs: let(cut(xs), summed))
 
 
 def _digits(value: Column) -> Column:
@@ -76,7 +83,8 @@ def _mod97(value: Column) -> Column:
         letter = (acc * 100 + F.ascii(c) - 55) % 97
         return F.when(F.ascii(c) < 58, digit).otherwise(letter)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    characters = F.transform(F.sequence(F.lit(1), F.length(turned)), lambda i: F.substring(turned, i, F.lit(1)))
+    return F.aggregate(characters, F.lit(0), step) == 1
 
 
 def _confirmed(kind: str, value: Column) -> Column:
@@ -98,12 +106,7 @@ def _spans(kind: Kind, text: Column, values: Column) -> Column:
 
     What lies between matches gives both the positions and the context, so no text is scanned anew for each match.
     """
-    pieces = F.split(text, kind.pattern, -1)
-    n = F.size(values)
-    lengths = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(F.length(F.get(pieces, i)), F.length(F.get(values, i)))))
-    ends = prefix_sums(lengths)
-
-    def span(i):
+    def span(pieces, ends, i):
         value = F.get(values, i)
         near = F.concat_ws(" ", F.lower(F.substring(F.get(pieces, i), -CONTEXT_BEFORE, CONTEXT_BEFORE)), F.lower(F.substring(F.get(pieces, i + 1), 1, CONTEXT_AFTER)))
         score = F.lit(kind.score) + F.when(F.regexp_like(near, F.lit(kind.context)), F.lit(kind.bonus)).otherwise(F.lit(0.0))
@@ -112,8 +115,14 @@ def _spans(kind: Kind, text: Column, values: Column) -> Column:
             value.alias("value"), F.round(score, 2).alias("score"), _confirmed(kind.name, value).alias("ok"),
         )
 
-    found = F.filter(F.transform(F.sequence(F.lit(0), n - 1), span), lambda s: s["ok"] if kind.base else s["ok"] & (s["score"] >= THRESHOLD))
-    return F.transform(found, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "value", "score"))))
+    def found(pieces):
+        places = F.sequence(F.lit(0), F.size(values) - 1)
+        lengths = F.flatten(F.transform(places, lambda i: F.array(F.length(F.get(pieces, i)), F.length(F.get(values, i)))))
+        every = let(prefix_sums(lengths), lambda ends: F.transform(places, lambda i: span(pieces, ends, i)))
+        return F.filter(every, lambda s: s["ok"] if kind.base else s["ok"] & (s["score"] >= THRESHOLD))
+
+    plain = ("kind", "start", "end", "value", "score")
+    return F.transform(let(F.split(text, kind.pattern, -1), found), lambda s: F.struct(*(s[c].alias(c) for c in plain)))
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
