@@ -42,14 +42,17 @@ class _Model:
         self.prev1 = np.zeros(lanes, np.int64)
         self.prev2 = np.zeros(lanes, np.int64)
         self.step = 0
-        self._refresh()
+        self._frequencies()
+        self._weights()
 
-    def _refresh(self):
+    def _frequencies(self):
         room = (1 << ID_BITS) - self.alphabet
         f = 1 + self.counts * room // int(self.counts.sum())
         self.cum = np.zeros(self.alphabet + 1, np.int64)
         np.cumsum(f, out=self.cum[1:])
         self.cum[-1] = 1 << ID_BITS  # the last id takes what rounding leaves
+
+    def _weights(self):
         total = self.right.sum(axis=1)
         w2 = 1 + self.right[:, 0] * ((1 << MIX_BITS) - 3) // total
         w1 = 1 + self.right[:, 1] * ((1 << MIX_BITS) - 3) // total
@@ -73,8 +76,9 @@ class _Model:
         self.counts += np.bincount(ids, minlength=self.alphabet) * 16
         self.prev2, self.prev1 = self.prev1, ids
         self.step += 1
+        self._weights()
         if self.step < 8 or self.step % 8 == 0:
-            self._refresh()
+            self._frequencies()
 
 
 def _shape(n: int) -> tuple[int, int]:
