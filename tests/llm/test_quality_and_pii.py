@@ -1,0 +1,101 @@
+import hashlib
+import re
+from collections import Counter
+
+from seqloom.llm import op04_quality as Q
+from seqloom.llm import op10_pii as P
+
+from .data import documents, rows, table
+
+
+def base(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(zip(w, w[1:], w[2:]))
+    covered = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    n = len(w)
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def test_ledger(spark):
+    more = [(900, "# a " * 60 + "b" * 12, "en", "s", 0), (901, "a b c a b c d " * 3, "en", "s", 0), (902, "é ! É " * 40, "en", "s", 0)]
+    df = documents(spark).unionByName(spark.createDataFrame(more, documents(spark).schema))
+    got = {r.doc_id: r for r in Q.verdicts(Q.ledger(df)).collect()}
+    for i, text, *_ in rows() + more:
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(text), i
+        assert not (r.base_failed and r.kept)
+        values = {m: r[m] for m in Q.MEASURES}
+        assert r.fail_bits == sum(Q.BIT[n] for n, rule in Q.RULES if eval(rule, {}, values))
+    assert any(r.kept for r in got.values())
+
+
+def test_ablations_match_second_runs(spark):
+    rows_ = Q.ledger(documents(spark))
+    bits = [r.fail_bits for r in rows_.collect()]
+    for r in Q.ablations(rows_, Q.V1).collect():
+        rest = Q.Policy("x", tuple(x for x in Q.V1.rules if x != r.rule))
+        assert r.n_failed == sum(b & Q.BIT[r.rule] != 0 for b in bits)
+        assert r.n_failed_only == sum(b & Q.V1.mask == Q.BIT[r.rule] for b in bits)
+        assert r.n_kept_without == sum(b & rest.mask == 0 for b in bits)
+    assert Q.ablations(rows_.limit(0), Q.BASE).count() == 2
+
+
+def test_ledger_edges(spark):
+    df = documents(spark)
+    assert Q.ledger(df.limit(0)).count() == 0 and Q.ledger(df).count() == df.count()
+    carried = Q.ledger(documents(spark, extra=True).drop("measures"), carry=("doc_id", "row", "spans"))
+    assert carried.columns == ["doc_id", "row", "spans", "measures", "fail_bits"]
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+)
+
+PERSONAL = [
+    "write to a.b@c.de, x@y and q@z.w_v@k.lm.no! é😀 me@ex-ample.co.uk",
+    "1.2.3.4 256.1.1.1 001.02.3.255.7.8.9 1.2.3 99.99.99.99999 0000.0.0.0",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 378282246310005 4111111111111111 4111 1111 1111 1111 1111",
+    "+1 (652) 555-4544 or +49 30 1234567890123456 or +1-- +12 3 +1 (652) 555-4544.",
+    "my IBAN: GB82 WEST 1234 5698 7654 32 or DE89370400440532013000, not DE89370400440532013001",
+    'token = "9233a8ecf7c5b09fe594" and Password: \'hunter2hunter\' and token = "short"',
+    "ssn 078-05-1120 and 078-05-1121 far away from any word that would say what it is, so it stays",
+    "a@b.cc " * 1500 + "4111111111111111",
+    "a." * 30_000 + "@" + "b." * 30_000,
+    "1 " * 20_000, "1" * 40_000, "+" + "1 (" * 10_000, "..@..", "+1" * 10, None, "", "x@y.z\n1.1.1.1\n",
+]
+
+
+def test_pii_base_spans(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(PERSONAL)], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in P.digests(P.find(df)).collect()}
+    for i, t in enumerate(PERSONAL):
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, p, ok in KINDS for m in re.finditer(p, t or "") if ok(m.group())]
+        r = got[i]
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest(), i
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in spans) for k, *_ in KINDS]
+        assert [s for s in r.spans.split(",") if s.split(":")[0] in P.BASE] == spans or not spans
+
+
+def test_pii_extra_spans_need_checksum_or_context(spark):
+    df = spark.createDataFrame(list(enumerate(PERSONAL)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans if s.kind not in P.BASE] for r in P.find(df).collect()}
+    assert got[4] == [("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "DE89370400440532013000")]
+    assert got[5] == [("secret", 'token = "9233a8ecf7c5b09fe594"'), ("secret", "Password: 'hunter2hunter'")]
+    assert ("ssn", "078-05-1120") in got[6]
+    text = {r.doc_id: r.text for r in P.redact(df).collect()}
+    assert text[0].startswith("write to [email], x@y") and text[13 + 1] == "" and "[iban]" in text[4]
+
+
+def test_pii_edges(spark):
+    df = documents(spark, extra=True)
+    assert P.find(df).count() == df.count() and P.find(df.limit(0)).count() == 0
+    assert table(P.find(df).selectExpr("doc_id", "size(spans)")) == table(documents(spark).selectExpr("doc_id", "0"))
