@@ -118,6 +118,9 @@ def _parse(data, start: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def _verified(headers: dict[str, str], block: bytes, offset: int, length: int) -> Record:
+    for name in ("warc-record-id", "warc-type", "warc-date"):
+        if not headers.get(name):
+            raise Damaged(f"no {name}")
     named = headers.get("warc-block-digest", "")
     if named.startswith("sha1:") and named[5:] != digest(block):
         raise Damaged("block digest")
@@ -182,7 +185,8 @@ def salvage(data) -> Iterator[Record | Gap]:
     """Every valid record of an archive's bytes (or map), compressed by member or plain, and the gaps between them.
 
     After a failed check the search goes on at the next member or version line, so that one fault
-    costs one record and the bytes up to the next.
+    costs one record and the bytes up to the next. A member's checksum covers its headers; in a plain
+    archive, digests cover blocks only, and a changed byte in a header's value goes unseen.
     """
     pos, size = 0, len(data)
     while pos < size:
