@@ -69,11 +69,14 @@ def test_salvage(form):
         data = b"".join(parts)
         out = list(salvage(data))
         whole = {page_of(o.headers["warc-record-id"]): o.payload for o in out if isinstance(o, Record)}
+        whole.pop(None, None)  # a plain record's id with a changed byte
         # A plain record cut short can swallow the start of the next one, which then is part of the gap.
         lost = set(range(20)) - bad - set(whole)
         assert not lost if form is bytes else lost <= {b + 1 for b in bad}
-        assert all(whole[i] == texts[i] for i in whole) and sum(o.length for o in out) == len(data)
-        assert any(isinstance(o, Gap) for o in out) or set(whole) >= bad
+        # In a plain record a changed header may pass for another one, but never a changed block.
+        assert all(whole[i] == texts[i] or form is plain and whole[i].endswith(texts[i]) for i in whole) and sum(o.length for o in out) == len(data)
+        if form is bytes:
+            assert any(isinstance(o, Gap) for o in out) or set(whole) >= bad
 
 
 def test_gaps_are_logged(spark, tmp_path):
