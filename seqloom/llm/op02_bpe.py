@@ -32,7 +32,7 @@ def encode_decode(df: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_
             ids, decoded, sizes = [], [], [0]
             for text in batch.column("text").to_pylist():
                 one = bpe.encode(text)
-                ids.append(np.array(one, dtype=np.int32))
+                ids.append(one)
                 decoded.append(bpe.decode(one))
                 sizes.append(len(one))
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)

@@ -87,7 +87,7 @@ def write(docs: DataFrame, home: str, tokenizer: str = TOKENIZER, end_id: int =
             for task, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("task", "doc_id", "text"))):
                 if writer is None:
                     writer = _Writer(f"{home}/ids/{uuid.uuid4().hex}.ids", alphabet)
-                writer.add(doc_id, np.array([*bpe.encode(text), end_id], dtype=np.int32))
+                writer.add(doc_id, np.append(bpe.encode(text), np.int32(end_id)))
                 if writer.ids >= roll:
                     yield listed()
                     writer, number = None, number + 1

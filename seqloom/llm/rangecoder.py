@@ -31,8 +31,8 @@ _U16, _U32, _U48 = np.uint64(16), np.uint64(32), np.uint64(48)
 class _Model:
     """What the coder and the decoder know alike before each step."""
 
-    def __init__(self, alphabet: int, lanes: int):
-        self.alphabet = alphabet
+    def __init__(self, alphabet: int, lanes: int, inverse: bool = False):
+        self.alphabet, self.inverse, self.met = alphabet, inverse, []
         self.next2 = np.zeros(1 << _TABLE_BITS, np.int32)
         self.sure2 = np.zeros(1 << _TABLE_BITS, np.int8)
         self.next1 = np.zeros(alphabet, np.int32)
@@ -46,11 +46,17 @@ class _Model:
         self._weights()
 
     def _frequencies(self):
+        if self.met:
+            self.counts += np.bincount(np.concatenate(self.met), minlength=self.alphabet) * 16
+            self.met = []
         room = (1 << ID_BITS) - self.alphabet
         f = 1 + self.counts * room // int(self.counts.sum())
         self.cum = np.zeros(self.alphabet + 1, np.int64)
         np.cumsum(f, out=self.cum[1:])
-        self.cum[-1] = 1 << ID_BITS  # the last id takes what rounding leaves
+        f[-1] += (1 << ID_BITS) - self.cum[-1]  # the last id takes what rounding leaves
+        self.cum[-1] = 1 << ID_BITS
+        if self.inverse:
+            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), f)
 
     def _weights(self):
         total = self.right.sum(axis=1)
@@ -73,11 +79,11 @@ class _Model:
         self.sure2[self.at] = np.where(hit2, np.minimum(self.c2 + 1, 7), np.where(self.c2 > 1, self.c2 >> 1, 1))
         self.next1[self.prev1] = np.where(self.c1 > 1, self.p1, ids)
         self.sure1[self.prev1] = np.where(hit1, np.minimum(self.c1 + 1, 7), np.where(self.c1 > 1, self.c1 >> 1, 1))
-        self.counts += np.bincount(ids, minlength=self.alphabet) * 16
+        self.met.append(ids)
         self.prev2, self.prev1 = self.prev1, ids
         self.step += 1
         self._weights()
-        if self.step < 8 or self.step % 8 == 0:
+        if self.step in (1, 2, 4, 8) or self.step % 16 == 0:
             self._frequencies()
 
 
@@ -137,7 +143,7 @@ def _shift_out(low, width, out, sizes):
 
 def decode_block(words: np.ndarray, sizes: np.ndarray, n: int, alphabet: int) -> np.ndarray:
     lanes, steps = _shape(n)
-    model = _Model(alphabet, lanes)
+    model = _Model(alphabet, lanes, inverse=True)
     at = np.cumsum(sizes) - sizes
     words = np.concatenate([words.astype(np.uint64), np.zeros(8, np.uint64)])
     low, width, code = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.uint64)
@@ -159,7 +165,7 @@ def decode_block(words: np.ndarray, sizes: np.ndarray, n: int, alphabet: int) ->
         rest = np.flatnonzero(which >= w21)
         share = (1 << MIX_BITS) - w21[rest]
         left = value[rest] - (w21[rest] << ID_BITS)
-        found = np.searchsorted(model.cum, left // share, "right") - 1
+        found = model.id_at[left // share]
         x[rest] = found
         start[rest] = (w21[rest] << ID_BITS) + share * model.cum[found]
         size[rest] = share * (model.cum[found + 1] - model.cum[found])

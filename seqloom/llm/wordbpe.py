@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import regex
@@ -14,7 +13,7 @@ from tokenizers import Tokenizer
 LEAF = 4096
 #: Code points on either side of a join that are encoded again at first.
 WINDOW = 64
-#: Entries of each cache; a full cache is emptied, which bounds a worker's memory.
+#: Entries of each generation of a cache, of which two are held: this bounds a worker's memory.
 CACHE = 300_000
 
 #: Fixed by the vocabulary file: its pre-tokenizer's pattern.
@@ -31,17 +30,27 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Cache(dict):
+    """Values by key in two generations: a full one becomes the old one, from which what is used comes back."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
+def _packed(ids) -> bytes:
+    return np.asarray(ids, dtype=np.int32).tobytes()
+
+
 class Encoded:
     """Tokens of a stretch of text: ids and the code points [start, end) that each covers."""
 
@@ -93,28 +102,33 @@ class WordBpe:
             and spec["model"].get("end_of_word_suffix") == "</w>"
         )
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return tuple(x.id for x in self.tokenizer.model.tokenize(mapped))
+        return _packed([x.id for x in self.tokenizer.model.tokenize(mapped)])
 
-    def _word(self, word: bytes) -> tuple[int, ...]:
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a word as bytes, four each: words then join without a Python number for each id."""
+        body, mark = (word[:-1], word[-1:]) if word[-1] in b".,;:!?" else (word, b"")
+        if body.isalpha() and len(word) <= LEAF:  # ASCII letters and a mark: two pieces, told without the pattern
+            return self.pieces[body.lower().decode()] + (self.pieces[mark.decode()] if mark else b"")
         text = word.decode()
         if len(text) > LEAF:
-            return tuple(self.tree(text).ids.tolist())
+            return _packed(self.tree(text).ids)
         if "<|" not in text and self.simple(text):
-            return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text.lower()))))
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: bytes) -> list[int]:
+    def encode(self, text: bytes) -> np.ndarray:
         """Ids of a whole text in UTF-8."""
         if not self.plain:
-            return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.words.__getitem__, text.split())))
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), np.int32)
 
     def decode(self, ids) -> str:
         """As the library's decode(ids, skip_special_tokens=False): this vocabulary has no decoder, so tokens are joined by spaces."""
+        ids = np.asarray(ids).tolist()
         if not self.plain:
-            return self.tokenizer.decode(list(ids), skip_special_tokens=False)
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
         return " ".join(map(self.strings.__getitem__, ids))
 
     def _span(self, text: str, a: int, b: int) -> Encoded:
