@@ -3,15 +3,16 @@
 Numbers, units and names become typed placeholders; what remains of a text is its template. Windows
 of five template tokens of the documents are hash-joined with those of the benchmark. Windows that
 lie on one diagonal form an alignment; its slots must bind consistently: within a type, one value of
-the item always to one value of the document and the reverse. So a question is found verbatim, and
-also with other numbers, names or units put in throughout.
+the item always to one value of the document and the reverse. So a question is found with other numbers, names or
+units put in throughout.
 
 An item is found in a document if one consistent alignment covers 13 of its tokens, or four fifths
 of them where the item is shorter.
 
 Most windows of a corpus are in no benchmark, so each worker first looks them up in a bitmap of
 BITMAP_BITS bits, whose size does not depend on either table; only its hits are shuffled, and the join
-is exact. Items with one template are one class, named by its smallest item_id.
+is exact. Items of the same words are one class, named by its smallest item_id. Of items with one
+template those are reported that a document holds with their own values, else the smallest item_id.
 
 Null and empty texts match nothing; neither do items of fewer than five tokens. Rows without an id are
 not reported. Rows that repeat an id are one document. Empty tables give an empty result. Only the
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import small_batches, text_of
 
 WINDOW = 5
-#: Tokens of a window that must be words.
+#: Tokens of a window with placeholders that must be words.
 LITERALS = 3
 MIN_TOKENS = 13
 MIN_SHARE = 0.8
@@ -50,6 +51,7 @@ UNITS = frozenset(
     " second seconds minute minutes hour hours day days week weeks month months year years mph kmh dollar dollars cent cents euro euros degree degrees percent".split()
 )
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
+WORDS, SLOTS, NAMES = range(3)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[0-9][0-9.,:/]*[a-z%]{0,3}")
 _STOP = re.compile(r"[.!?:][\"')\]»”]*$")
@@ -63,6 +65,8 @@ def _hash(x: str) -> int:
 
 
 _SLOT = np.array([0, _hash("\x00number"), _hash("\x00name"), _hash("\x00unit"), 0], dtype=np.uint64)
+#: Keeps the windows of WORDS apart from the others.
+_APART = np.uint64(_hash("\x00words"))
 _WEIGHTS = np.array([_hash(f"\x00weight{i}") | 1 for i in range(WINDOW)], dtype=np.uint64)
 
 
@@ -79,14 +83,16 @@ class Canon:
         self.kind = np.empty(1024, np.int8)  # where it does not begin a sentence
         self.unit = np.empty(1024, bool)
         self.stop = np.empty(1024, bool)
+        self.mark = np.empty(1024, bool)
 
     def add(self, raw: bytes) -> int:
         if self.size == len(self.word):
-            for name in ("word", "kind", "unit", "stop"):
+            for name in ("word", "kind", "unit", "stop", "mark"):
                 setattr(self, name, np.concatenate([getattr(self, name)] * 2))
         i = self.index[raw] = self.size
         self.size += 1
         body = raw[:-1] if raw[-1] in _MARKS else raw
+        self.mark[i] = body is not raw
         if body.isalpha():  # of ASCII letters: most words, told without a pattern
             low, titled = body.lower().decode(), len(body) > 1 and body[0] < 97 and not body.isupper()
             self.stop[i] = raw[-1] in _STOPS
@@ -95,6 +101,7 @@ class Canon:
             text = raw.decode("utf-8", "replace")
             bare = self.bare(text)
             low = bare.lower()
+            self.mark[i] = not text.endswith(bare) or not bare
             self.stop[i] = bool(_STOP.search(text))
             if not bare:
                 self.kind[i] = NOTHING
@@ -110,8 +117,8 @@ class Canon:
     def bare(text: str) -> str:
         return text if text == "%" else _EDGES.sub("", text)
 
-    def tokens(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Raw tokens, the place of each canonical token among them, its kind and its hash."""
+    def readings(self, text: bytes) -> list[tuple]:
+        """(reading, raw tokens, where each canonical token begins and the last ends, kinds, hashes); NAMES only where it differs."""
         raw = text.split()
         if self.size > CACHE:
             self.forget()
@@ -119,17 +126,27 @@ class Canon:
         ids = np.fromiter((add(t) if (i := get(t)) is None else i for t in raw), np.int64, len(raw))
         kinds, first = self.kind[ids], np.ones(len(ids), dtype=bool)
         first[1:] = self.stop[ids[:-1]]
-        kinds[(kinds == NAME) & first] = LITERAL
         at = np.flatnonzero(kinds != NOTHING)
-        ids, kinds = ids[at], kinds[at]
-        after = np.zeros(len(ids), dtype=bool)
-        after[1:] = kinds[:-1] == NUMBER
-        kinds[after & self.unit[ids] & (kinds == LITERAL)] = UNIT
-        return raw, at, kinds, np.where(kinds == LITERAL, self.word[ids], _SLOT[kinds])
+        first, ids, kinds = first[at], ids[at], kinds[at]
+        word, unit, open_ = self.word[ids], self.unit[ids], ~self.mark[ids[:-1]] if len(ids) else np.empty(0, bool)
+        raw = [raw[i] for i in at.tolist()] if len(at) < len(raw) else raw
+        n = len(raw)
+        out = [(WORDS, raw, np.arange(n + 1), np.zeros(n, np.int8), word ^ _APART)]
+        first &= kinds == NAME
+        for reading in (SLOTS,):
+            own = np.where(first, LITERAL, kinds) if reading == SLOTS else kinds.copy()
+            after = np.zeros(n, dtype=bool)
+            after[1:] = own[:-1] == NUMBER
+            own[after & unit & (own == LITERAL)] = UNIT
+            begins = np.ones(n + 1, dtype=bool)
+            cuts = np.flatnonzero(begins)
+            own, named = own[cuts[:-1]], word[cuts[:-1]]
+            out.append((reading, raw, cuts, own, np.where(own == LITERAL, named, _SLOT[own])))
+        return out
 
 
 def windows(kinds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each window of five tokens, and whether enough of them are words."""
+    """The hash of each window of five tokens, and whether enough of them are words; in WORDS all are."""
     n = len(hashes) - WINDOW + 1
     if n < 1:
         return np.empty(0, np.uint64), np.empty(0, bool)
@@ -142,16 +159,20 @@ def windows(kinds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out ^ (out >> np.uint64(31)), words >= LITERALS
 
 
-def _slots(raw, at, kinds, i: int, n: int) -> list[str | None]:
+def _slots(raw, cuts, kinds, i: int, n: int) -> list[str | None]:
     """The value in each slot of n tokens, None where a word stands."""
-    return [None if kinds[j] == LITERAL else f"{kinds[j]}:{Canon.bare(raw[at[j]].decode('utf-8', 'replace')).lower()}" for j in range(i, i + n)]
+    value = lambda j: " ".join(Canon.bare(t.decode("utf-8", "replace")) for t in raw[cuts[j] : cuts[j + 1]]).lower()
+    return [None if kinds[j] == LITERAL else f"{kinds[j]}:{value(j)}" for j in range(i, i + n)]
 
 
-_ROWS = "h bigint, pos int, slots array<string>"
+_ROWS = "reading int, h bigint, pos int, slots array<string>"
 
 
 def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, n, h, pos, slots): the windows of each class of items with one template; n is its tokens."""
+    """(item, template, total, n, reading, h, pos, slots): the windows of each class of items of the same words.
+
+    total is its tokens, n those of the reading, template names the placeholders and words between them.
+    """
     source = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), text_of(text_col).cast("binary").alias("text"))
 
     def work(batches):
@@ -159,19 +180,23 @@ def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str
         for batch in batches:
             out = []
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
-                raw, at, kinds, hashes = canon.tokens(text)
-                h, ok = windows(kinds, hashes)
-                template = xxhash.xxh64_intdigest(hashes.tobytes(), 7)
-                out += [(item, len(hashes), _signed(template), _signed(int(h[i])), i, _slots(raw, at, kinds, i, WINDOW)) for i in np.flatnonzero(ok).tolist()]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["item", "n", "template", "h", "pos", "slots"]), schema=_ITEM_ARROW, preserve_index=False)
+                read = canon.readings(text)
+                words, template = (_signed(xxhash.xxh64_intdigest(read[k][4].tobytes(), 7)) for k in (WORDS, SLOTS))
+                for reading, raw, cuts, kinds, hashes in read:
+                    if reading == WORDS:
+                        continue
+                    h, ok = windows(kinds, hashes)
+                    out += [(item, words, template, len(raw), len(hashes), reading, _signed(int(h[i])), i, _slots(raw, cuts, kinds, i, WINDOW)) for i in np.flatnonzero(ok).tolist()]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_ITEM_ARROW.names), schema=_ITEM_ARROW, preserve_index=False)
 
-    rows = source.mapInArrow(work, f"item bigint, n int, template bigint, {_ROWS}")
-    lowest = rows.groupBy("template").agg(F.min("item").alias("item"))
-    return rows.join(lowest, ["template", "item"]).select("item", "n", "h", "pos", "slots").distinct()
+    rows = source.mapInArrow(work, f"item bigint, words bigint, template bigint, total int, n int, {_ROWS}")
+    lowest = rows.groupBy("words").agg(F.min("item").alias("item"))
+    return rows.join(lowest, ["words", "item"]).drop("words").distinct()
 
 
-_ITEM_ARROW = pa.schema([("item", pa.int64()), ("n", pa.int32()), ("template", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))])
-_HIT_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))])
+_WINDOW_ARROW = [("reading", pa.int32()), ("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))]
+_ITEM_ARROW = pa.schema([("item", pa.int64()), ("words", pa.int64()), ("template", pa.int64()), ("total", pa.int32()), ("n", pa.int32()), *_WINDOW_ARROW])
+_HIT_ARROW = pa.schema([("doc_id", pa.int64()), *_WINDOW_ARROW])
 
 
 def _signed(x: int) -> int:
@@ -187,7 +212,7 @@ def _bitmap(known: DataFrame) -> np.ndarray:
 
 
 def hits(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, pos, slots): windows of the documents that may be in the benchmark."""
+    """(doc_id, reading, h, pos, slots): windows of the documents that may be in the benchmark."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(known))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
@@ -197,13 +222,15 @@ def hits(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw, at, kinds, hashes = canon.tokens(text)
-                h, ok = windows(kinds, hashes)
-                x = h >> np.uint64(64 - BITMAP_BITS)
-                ok &= (bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                out += [(doc, _signed(int(h[i])), i, _slots(raw, at, kinds, i, WINDOW)) for i in np.flatnonzero(ok).tolist()]
+                for reading, raw, cuts, kinds, hashes in canon.readings(text):
+                    if reading == WORDS:
+                        continue
+                    h, ok = windows(kinds, hashes)
+                    x = h >> np.uint64(64 - BITMAP_BITS)
+                    ok &= (bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    out += [(doc, reading, _signed(int(h[i])), i, _slots(raw, cuts, kinds, i, WINDOW)) for i in np.flatnonzero(ok).tolist()]
             if out:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["doc_id", "h", "pos", "slots"]), schema=_HIT_ARROW, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_HIT_ARROW.names), schema=_HIT_ARROW, preserve_index=False)
 
     return source.mapInArrow(work, f"doc_id bigint, {_ROWS}")
 
@@ -212,22 +239,29 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(doc_id, item_id, n_tokens, n_covered, n_slots, changed): each document with each class of items found in it.
 
     changed tells that a slot holds another value than the item's. Groups are one document with one
-    item on one diagonal, so a passage that much of the corpus holds makes no large group.
+    item on one diagonal of two readings, so a passage that much of the corpus holds makes no large
+    group, and then one document with the items of one template.
     """
     known = benchmark_windows(items)
-    found = hits(docs, known, id_col, text_col).withColumnRenamed("slots", "own").withColumnRenamed("pos", "at")
+    found = hits(docs, known, id_col, text_col).withColumnsRenamed({"slots": "own", "pos": "at", "reading": "read"})
     pairs = found.join(known, "h").withColumn("bound", F.filter(F.arrays_zip("slots", "own"), lambda z: z["slots"].isNotNull()))
     pairs = pairs.withColumn("diagonal", F.col("at") - F.col("pos"))
-    aligned = pairs.groupBy("doc_id", "item", "n", "diagonal").agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound"))
+    aligned = pairs.groupBy("doc_id", "item", "template", "total", "n", "read", "reading", "diagonal").agg(
+        F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound")
+    )
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + WINDOW - 1)))))
     one_way = F.size(F.array_distinct(F.transform("bound", lambda b: b["slots"]))) == F.size("bound")
     other_way = F.size(F.array_distinct(F.transform("bound", lambda b: b["own"]))) == F.size("bound")
     enough = F.least(F.lit(MIN_TOKENS), F.ceil(F.col("n") * MIN_SHARE))
     good = aligned.withColumn("covered", covered).where(one_way & other_way & (F.col("covered") >= enough))
     changed = F.exists("bound", lambda b: b["slots"] != b["own"])
-    return good.groupBy("doc_id", F.col("item").alias("item_id"), F.col("n").cast("long").alias("n_tokens")).agg(
-        F.max("covered").cast("long").alias("n_covered"), F.max(F.size("bound")).cast("long").alias("n_slots"), F.min(changed).alias("changed")
+    by_item = good.groupBy("doc_id", "template", "item").agg(
+        F.min(changed).alias("changed"), F.max("total").alias("n_tokens"), F.max("covered").alias("n_covered"), F.max(F.size("bound")).alias("n_slots")
     )
+    fields = ("changed", "item", "n_tokens", "n_covered", "n_slots")
+    held = by_item.groupBy("doc_id", "template").agg(F.collect_list(F.when(~F.col("changed"), F.struct(*fields))).alias("same"), F.min(F.struct(*fields)).alias("low"))
+    rows = held.select("doc_id", F.explode(F.when(F.size("same") > 0, F.col("same")).otherwise(F.array("low"))).alias("r"))
+    return rows.select("doc_id", F.col("r.item").alias("item_id"), *(F.col(f"r.{k}").cast("long").alias(k) for k in fields[2:]), "r.changed")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,3 +82,15 @@ def test_edges(spark):
     bad = spark.createDataFrame([(1, ITEMS[1][1]), (1, ITEMS[1][1]), (None, ITEMS[1][1]), (2, "fine")], "doc_id long, text string")
     assert table(D.contaminated(bad, items(spark)).select("doc_id", "item_id")) == [(1, 2)]
     assert sorted(map(str, (r.doc_id for r in D.clean(bad, items(spark)).collect()))) == ["2", "None"]
+
+
+def pairs_of(spark, rows, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id, r.changed) for r in D.contaminated(docs, items(spark, rows)).collect()}
+
+
+def test_items_of_one_template_keep_their_values(spark):
+    text = "A box holds {} red pens and {} blue pens and a jar holds {} green pens in total today"
+    rows = [(1, text.format(3, 4, 3)), (2, text.format(6, 7, 9)), (3, text.format(6, 7, 9))]
+    got = pairs_of(spark, rows, [rows[1][1], text.format(8, 5, 2), text.format(8, 5, 8), rows[0][1] + ". " + rows[1][1]])
+    assert got == {(0, 2, False), (1, 2, True), (2, 1, True), (3, 1, False), (3, 2, False)}
