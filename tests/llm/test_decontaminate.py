@@ -94,3 +94,10 @@ def test_items_of_one_template_keep_their_values(spark):
     rows = [(1, text.format(3, 4, 3)), (2, text.format(6, 7, 9)), (3, text.format(6, 7, 9))]
     got = pairs_of(spark, rows, [rows[1][1], text.format(8, 5, 2), text.format(8, 5, 8), rows[0][1] + ". " + rows[1][1]])
     assert got == {(0, 2, False), (1, 2, True), (2, 1, True), (3, 1, False), (3, 2, False)}
+
+
+def test_one_edited_slot_leaves_the_verbatim_rest(spark):
+    text = "There were 12 people at the long table in the garden when the rain began and after a while most of them went inside to wait until it stopped while the other 12 people stayed out there"
+    pens = "A box holds 3 red pens and 4 blue pens on the wide shelf near the door of the room"
+    got = pairs_of(spark, [(1, text), (2, pens)], [text.replace("other 12", "other 13"), pens.replace("3", "7").replace("4", "7")])
+    assert got == {(0, 1, False), (1, 2, True)}
