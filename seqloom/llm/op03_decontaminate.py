@@ -6,9 +6,10 @@ lie on one diagonal form an alignment; its slots must bind consistently: within
 the item always to one value of the document. So a question is found with other numbers, names or
 units put in throughout; two values of the item may get the same new one.
 
-Each text is read in two ways, and each window is of one reading. WORDS has every token as it
+Each text is read in up to three ways, and each window is of one reading. WORDS has every token as it
 stands, so that verbatim passages are found whatever they are made of and whatever was edited beside
-them. SLOTS has placeholders, and takes a capitalised word that begins a sentence for a word.
+them. SLOTS has placeholders, and takes a capitalised word that begins a sentence for a word; NAMES
+takes it for a name. There a run of names or of numbers without a mark in it is one placeholder.
 
 An item is found in a document if one consistent alignment covers 13 of its tokens, or four fifths
 of them where the item is shorter.
@@ -137,12 +138,13 @@ class Canon:
         n = len(raw)
         out = [(WORDS, raw, np.arange(n + 1), np.zeros(n, np.int8), word ^ _APART)]
         first &= kinds == NAME
-        for reading in (SLOTS,):
+        for reading in (SLOTS, NAMES) if first.any() else (SLOTS,):
             own = np.where(first, LITERAL, kinds) if reading == SLOTS else kinds.copy()
             after = np.zeros(n, dtype=bool)
             after[1:] = own[:-1] == NUMBER
             own[after & unit & (own == LITERAL)] = UNIT
             begins = np.ones(n + 1, dtype=bool)
+            begins[1:-1] = ~(((own[1:] == NAME) | (own[1:] == NUMBER)) & (own[1:] == own[:-1]) & open_)
             cuts = np.flatnonzero(begins)
             own, named = own[cuts[:-1]], word[cuts[:-1]]
             out.append((reading, raw, cuts, own, np.where(own == LITERAL, named, _SLOT[own])))

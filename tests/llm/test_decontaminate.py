@@ -101,3 +101,11 @@ def test_one_edited_slot_leaves_the_verbatim_rest(spark):
     pens = "A box holds 3 red pens and 4 blue pens on the wide shelf near the door of the room"
     got = pairs_of(spark, [(1, text), (2, pens)], [text.replace("other 12", "other 13"), pens.replace("3", "7").replace("4", "7")])
     assert got == {(0, 1, False), (1, 2, True)}
+
+
+def test_names_that_begin_sentences_and_longer_values(spark):
+    apples = "Sarah has 5 apples. Sarah buys 7 more. How many apples does Sarah have now?"
+    bus = "On the bus home Tom counted 12 red cars and then saw that Tom had lost the small green ticket"
+    rows = [(1, apples), (2, bus)]
+    texts = [apples.replace("Sarah", "Maria").replace("5", "8").replace("7", "9"), apples.replace("Sarah", "Mary Ann"), bus.replace("Tom", "Mary Ann").replace("12", "two hundred")]
+    assert pairs_of(spark, rows, texts) == {(0, 1, True), (1, 1, True), (2, 2, True)}
