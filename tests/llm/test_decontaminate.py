@@ -109,3 +109,9 @@ def test_names_that_begin_sentences_and_longer_values(spark):
     rows = [(1, apples), (2, bus)]
     texts = [apples.replace("Sarah", "Maria").replace("5", "8").replace("7", "9"), apples.replace("Sarah", "Mary Ann"), bus.replace("Tom", "Mary Ann").replace("12", "two hundred")]
     assert pairs_of(spark, rows, texts) == {(0, 1, True), (1, 1, True), (2, 2, True)}
+
+
+def test_items_with_few_words_proper(spark):
+    rows = [(1, "12 + 7 = 19, 30 - 4 = 26, 8 * 9 = 72"), (2, "Paris Rome Berlin Madrid Vienna Oslo Lisbon"), (3, "1914 1918 1939 1945 1989")]
+    texts = [f"and so it went on. {t} and this is all that was there" for _, t in rows]
+    assert {(d, i) for d, i, _ in pairs_of(spark, rows, texts)} == {(0, 1), (1, 2), (2, 3)}
