@@ -2,12 +2,18 @@
 
 Every block element gets its characters per tag, adjusted by its links; the subtree whose children's
 densities have the greatest sum is the article. The least density on the way from the body to it is
-the threshold from which other subtrees are content too. Elements that are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments by name, class, id or role are
-left out wherever they stand. Nothing else is dropped.
-
-A null or empty page has the empty text. Repeated rows are extracted each by itself; an empty table
-gives an empty result; only the named columns are read.
+the threshold from which other subtrees are content too.
+
+Names only cost: an element that is a menu, header, footer, sidebar, notice, advert or form by its tag
+or by a whole class, id or role name has its densities lowered, reader comments more so. Where the
+greatest sum is in such an element all the same, or it holds most of a page without an article
+elsewhere, its name is forgiven; otherwise it is left out, as are those of them that have no article,
+main, h1 or three paragraphs. An enclosing article is taken whole, a main but for its lists of links,
+and headings above the content are its own. Scripts, styles and hidden elements never count.
+
+A null or empty page has the empty text. A very long page takes time in proportion to its length, and
+one page is in memory at a time beside its batch. Repeated rows are extracted each by itself; ties go to
+the element that begins first; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations

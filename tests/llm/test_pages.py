@@ -1,11 +1,14 @@
 import base64
 import hashlib
+import math
 import random
+import xml.etree.ElementTree as ET
 
 import pytest
 
 from seqloom.llm import op08_warc as W
 from seqloom.llm import op09_html as H
+from seqloom.llm import htmltext
 from seqloom.llm.htmltext import extract
 from seqloom.llm.warc import Gap, Record, digest, page_of, salvage, write_record
 
@@ -128,3 +131,184 @@ def test_pages_table(spark):
     assert {(r.page_id, r.url, r.text, r.n_chars) for r in got if r.page_id < 4} == {(1, "u", TEXT, len(TEXT)), (2, None, "", 0), (3, "u", "", 0)}
     assert len(got) == 5 and next(r.text for r in got if r.page_id == 4).endswith("number 19999 of a very long page.")
     assert H.main_text(df.limit(0)).count() == 0
+
+
+WRAPPED = [
+    '<div class="content has-sidebar">{}</div>', '<div class="content-sidebar-wrap">{}</div>', '<div class="no-comments ad-free">{}</div>', '<form id="aspnetForm"><nav><a href=x>Home</a></nav>{}</form><p>Powered by X</p>',
+    '<div class="sidebar">{}</div><footer>&copy; X and all the rest of it</footer>', '<section class="social-article"><a href=x>Share</a> {}</section>', '<aside>{}</aside><div class="ad">Buy now</div>',
+]
+
+
+@pytest.mark.parametrize("wrap", WRAPPED)
+def test_names_do_not_take_an_article_along(wrap):
+    got = extract(f"<html><body>{wrap.format(f'<article>{ARTICLE}</article>')}</body></html>")
+    assert TEXT in got and "Home" not in got and "Buy" not in got and "rest of it" not in got
+    inner = '<p class="share-price">The share price rose.</p><section class="related-work"><p>Work like this.</p></section><h2 id="comment-on-the-law">Comment on the law</h2>'
+    assert extract(f"<body><article>{ARTICLE}{inner}</article></body>") == f"{TEXT} The share price rose. Work like this. Comment on the law"
+
+
+def test_only_what_stands_beside_an_article():
+    assert extract("<body><nav><a href=x>a</a></nav><div class=ad>Buy this now</div><footer>&copy; by somebody or other, all rights reserved</footer></body>") == ""
+    comments = "<div class='comments'>" + "<article class='comment'><p>" + "I have read all of this and I have an opinion. " * 9 + "</p></article>" * 1
+    assert extract(f"<body><div><p>{'A short article. ' * 9}</p></div>{comments}</div></body>") == ("A short article. " * 9).strip()
+
+
+LINKS = "<div class='x7'>" + "<a href=/a>Another page</a> | " * 12 + "</div>"
+BODY = "<div class='q'>" + "<p>An unnamed paragraph of the text that this page is about, and it is long enough.</p>" * 4 + "</div>"
+
+
+def test_scores_decide(monkeypatch):
+    page = f"<html><body>{LINKS}<div class='w'><h2>A heading</h2>{BODY}</div>{LINKS}</body></html>"
+    want = "A heading " + " ".join(["An unnamed paragraph of the text that this page is about, and it is long enough."] * 4)
+    assert extract(page) == want
+    monkeypatch.setattr(htmltext, "composite_density", lambda c, *_: float(c > 0))
+    assert extract(page) != want
+
+
+class Slow:
+    """The rules once more, each quantity worked out anew from the tree whenever it is asked for; well-formed pages only."""
+
+    def __init__(self, page):
+        self.root = ET.fromstring(page)
+        self.up = {c: p for p in self.root.iter() for c in p}
+        self.order = [e for e in self.root.iter() if e.tag != "a"]
+
+    def way(self, e):
+        return [e] + (self.way(self.up[e]) if e in self.up else [])
+
+    def own(self, e):
+        """Characters, linked ones, tags and link tags of an element without its blocks."""
+        links = [c for c in e if c.tag == "a"]
+        plain = (e.text or "") + "".join(c.tail or "" for c in e)
+        n = sum(len("".join((c.text or "").split())) for c in links)
+        return [len("".join(plain.split())) + n, n, len(links), len(links)]
+
+    def all(self, e):
+        parts = [self.own(x) for x in e.iter() if x.tag != "a"]
+        c, lc, t, lt = map(sum, zip(*parts))
+        return c, lc, t + len(parts), lt
+
+    def kind(self, e):
+        names = (e.get("class") or "").split()
+        inside = any(x.tag in ("article", "main") for x in self.way(e)[1:])
+        if e.tag in ("body", "html", "main"):
+            return 0
+        found = [0, int(e.tag in ("nav", "aside", "footer", "form") or (e.tag == "header" and not inside))]
+        for x in names:
+            found.append({"sidebar": 1, "ad": 1, "cookie-bar": 1, "comments": 2, "site-header": int(not inside)}.get(x, 0))
+        return max(found)
+
+    def evidence(self, e):
+        own = 3 if self.all(e)[0] and self.kind(e) < 2 and e.tag in ("article", "main", "h1") else int(e.tag == "p" and self.own(e)[0] - self.own(e)[1] >= 80)
+        return own + sum(self.evidence(x) for x in e if x.tag != "a" and (self.kind(x) < 2 or self.evidence(x) >= 6))
+
+    def cost(self, e):
+        if e not in self.up:
+            return 1.0
+        above, k = self.cost(self.up[e]), self.kind(e)
+        if k == 2:
+            return above * 0.01 if self.evidence(e) >= 6 else 0.0
+        if k == 1 and self.evidence(e) < 3:
+            return 0.0
+        if k == 1:
+            named = lambda x: any(map(self.kind, self.way(x)))
+            outside = [x for x in self.order if x.tag in ("article", "main") and not named(x) and self.all(x)[0] > self.all(x)[1]]
+            comments = [x for x in self.order if self.kind(x) == 2 and not any(map(self.kind, self.way(x)[1:]))]
+            text = lambda x: self.all(x)[0] - self.all(x)[1]
+            most = (text(self.root) - sum(map(text, comments))) / 2
+            return above * (1.0 if not outside and text(e) > most else 0.05)
+        return above
+
+    def formula(self, c, lc, t, lt):
+        total = self.all(self.root)
+        if c <= lc:
+            return 0.0
+        base = math.log(c * lc / (c - lc + 1) + (total[1] + 1) / (total[0] + 1) * c + math.e)
+        return c / t * math.log(1 + c / max(lc, 1) * t / max(lt, 1)) / math.log(1 + base)
+
+    def density(self, e):
+        return self.cost(e) * self.formula(*self.all(e))
+
+    def own_density(self, e):
+        c, lc, t, lt = self.own(e)
+        return self.cost(e) * self.formula(c, lc, t + 1, lt)
+
+    def sum(self, e):
+        return self.own_density(e) + sum(self.density(x) for x in e if x.tag != "a")
+
+    def text(self):
+        order = [e for e in self.order if self.cost(e) and self.all(e)[0]]
+        if not order:
+            return ""
+        sums = {e: self.sum(e) for e in order}
+        best = max(order, key=sums.get)
+        body = next((e for e in order if e.tag == "body"), self.root)
+        best = best if sums[best] else body
+        path = self.way(best)
+        cost = min(map(self.cost, path))
+        threshold = min(self.density(e) / self.cost(e) for e in (path[: path.index(body) + 1] if body in path else path))
+
+        def gone(e):
+            return e in self.up and (gone(self.up[e]) or not self.cost(e) or (self.kind(e) and e not in path and self.cost(e) < self.cost(self.up[e])))
+
+        live = [e for e in order if not gone(e)]
+        dense = [e for e in live if self.density(e) >= threshold * min(cost, self.cost(e))]
+        whole, own = {best}, set()
+        for e in dense:
+            below = [x for x in live if e in self.way(x)]
+            most = max(sums[x] for x in below)
+            top = next(x for x in below if sums[x] == most)
+            if top not in path:
+                whole.add(top)
+        articles = [e for e in path if e.tag == "article" and self.kind(e) < 2]
+        if articles:
+            whole.add(articles[-1])
+        for e in live:
+            c, lc = self.own(e)[:2]
+            main = not articles and any(x.tag == "main" for x in path) and any(x.tag in ("article", "main") for x in self.way(e)[1:])
+            heading = e.tag == "h2" and self.order.index(e) < self.order.index(best) and self.up[e] in path and 2 * self.all(e)[1] < self.all(e)[0]
+            d = self.own_density(e)
+            if (d and d >= threshold * min(cost, self.cost(e))) or heading or (main and (e in dense or 2 * lc < c)):
+                own.add(e)
+
+        def kept(e):
+            return not gone(e) and (e in own or any(x in whole for x in self.way(e)))
+
+        def say(e):
+            out = [(e.text or "") if kept(e) else " "]
+            for c in e:
+                out.append(((c.text or "") if kept(e) else " ") if c.tag == "a" else f" {say(c)} ")
+                out.append((c.tail or "") if kept(e) else " ")
+            return "".join(out)
+
+        return " ".join(say(self.root).split())
+
+
+def random_page(rng):
+    def words(n):
+        return " ".join(rng.choice("the of an article with some words in it that tell something about itself".split()) for _ in range(n))
+
+    def block(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.45:
+            return f"<p>{words(rng.choice([1, 3, 15, 40]))}{f' <a>{words(2)}</a>' if rng.random() < 0.2 else ''}</p>"
+        if kind < 0.55:
+            return "<ul>" + "".join(f"<li><a>{words(2)}</a></li>" for _ in range(rng.randrange(1, 8))) + "</ul>"
+        if kind < 0.65:
+            return f"<h2>{words(3)}</h2>"
+        tag = rng.choice("div div div section article main nav aside footer form header".split())
+        name = rng.choice(["", "", "x", "sidebar", "ad", "comments", "cookie-bar", "site-header", "content has-sidebar", "share-price"])
+        text = words(rng.choice([5, 30])) if rng.random() < 0.15 else ""
+        return f"<{tag} class='{name}'>{text}{''.join(block(depth + 1) for _ in range(rng.randrange(1, 6)))}</{tag}>"
+
+    return f"<html><body>{''.join(block(0) for _ in range(rng.randrange(1, 5)))}</body></html>"
+
+
+def test_slow_implementation():
+    rng, found = random.Random(11), set()
+    for _ in range(100):
+        page = random_page(rng)
+        got = extract(page)
+        assert got == Slow(page).text(), page
+        found.add(got)
+    assert len(found) > 60
