@@ -2,43 +2,85 @@
 
 A block of ids is cut into lanes of equal length that are coded in lockstep, each by a carry-less
 range coder of its own; all lanes learn one model, which begins afresh in every block. The model has
-three predictors: the id that last followed the two ids before (order 2), the one that last followed
-the id before (order 1), both with a confidence, and the adaptive frequencies of all ids (order 0).
-For each pair of confidences the three are mixed by weights learnt from how often each was right. An
-id is coded in the interval that the mixture gives it, in 32 bits of precision: 12 for the predictor
-and 20 for the id by order 0.
+three predictions. Order 2 is the id that followed the two ids before; order 1 is a distribution over
+the two ids that followed the id before most, by their counts; order 0 is the adaptive frequency of
+every id. The probability of an id is the weighted sum of what the three give it. The weights are
+learnt for each state of the two contexts (how often they were met, and how often they failed) by
+online expectation: an order's share of the probability of each id that came is added to its weight.
 
-All arithmetic is in integers, so every machine decodes what any other has coded.
+An id is coded in the interval that the mixture's cumulative distribution gives it, in 32 bits of
+precision: 12 for weights and 20 within an order. Intervals are integers, and what is learnt from
+quotients is rounded to whole numbers first, so every machine decodes what any other has coded.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 
 #: Ids of a block, and lanes of a full one.
-BLOCK, LANES = 1 << 19, 4096
+BLOCK, LANES = 1 << 20, 2048
 #: Ids that a lane has at least, where the block is smaller.
-LEAST = 64
+LEAST = 512
 MIX_BITS, ID_BITS = 12, 20
+_MIX, _ONE, _ID = 1 << MIX_BITS, 1 << ID_BITS, (1 << ID_BITS) - 1
 _TABLE_BITS = 20
+#: Parts of a unit in which an order's share of an id's probability is counted.
+_SHARE = 256.0
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _LOW = np.uint64((1 << 32) - 1)
 _U16, _U32, _U48 = np.uint64(16), np.uint64(32), np.uint64(48)
+#: Flags of a step of an order-1 counter: the two ids change places, the first or the second is replaced.
+_SWAP, _FIRST, _SECOND = 1 << 12, 1 << 13, 1 << 14
+
+
+@functools.cache
+def _counters():
+    """Tables over an order-1 counter, three numbers below 16 (first, second, failures): its step for each outcome, its class and the first id's part.
+
+    The outcomes are: the first id, the second, another one. Another one takes the second place once that has
+    no more than one count.
+    """
+    n0, n1, miss = (x.ravel() for x in np.meshgrid(*[np.arange(16)] * 3, indexing="ij"))
+
+    def packed(a, b, c, flags=0):
+        full = (a > 15) | (b > 15) | (c > 15)
+        a, b, c = (np.where(full, (x + 1) >> 1, x) for x in (a, b, c))
+        swap = b > a
+        return np.where(swap, b, a) << 8 | np.where(swap, a, b) << 4 | c | np.where(swap, _SWAP, 0) | flags
+
+    empty, weak = n0 == 0, n1 <= 1
+    other = packed(np.where(empty, 1, n0), np.where(empty, 0, np.where(weak, 1, n1 - 1)), np.where(empty, 0, miss + 1))
+    other |= np.where(empty, _FIRST, np.where(weak, _SECOND, 0))
+    step = np.concatenate([packed(n0 + 1, n1, miss), packed(n0, n1 + 1, miss), other])
+    hits = n0 + n1
+    failing = np.minimum(miss * 4 // np.maximum(hits + miss, 1), 3)
+    often = np.digitize(hits + miss, [2, 4, 9])
+    kind = np.where(empty, 0, often * 8 + failing * 2 + (n1 > 0))
+    first = np.where(n1 == 0, _ONE, _ONE * (2 * n0 + 1) // (2 * hits + 2))
+    return step, kind, first
+
+
+#: The step of an order-2 counter: failure, then success.
+_STEP2 = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])
 
 
 class _Model:
     """What the coder and the decoder know alike before each step."""
 
     def __init__(self, alphabet: int, lanes: int, inverse: bool = False):
+        if alphabet > _ONE:
+            raise ValueError("more ids than the coder has room for")
         self.alphabet, self.inverse, self.met = alphabet, inverse, []
-        self.next2 = np.zeros(1 << _TABLE_BITS, np.int32)
-        self.sure2 = np.zeros(1 << _TABLE_BITS, np.int8)
-        self.next1 = np.zeros(alphabet, np.int32)
-        self.sure1 = np.zeros(alphabet, np.int8)
-        self.right = np.tile(np.array([4, 2, 2], np.int64), (128, 1))  # by state: order 2, order 1, order 0
-        self.counts = np.ones(alphabet, np.int64)
+        self.step1, self.kind1, self.part1 = _counters()
+        self.slots2 = np.zeros(1 << _TABLE_BITS, np.int64)  # id, counter, check
+        self.slots1 = np.zeros(alphabet, np.int64)  # first id, second id, counter
+        self.seen = np.full(256, 4.0)
+        self.share2, self.share1 = np.repeat([0.5, 1, 2, 2.5, 3, 3, 3.5, 3.5], 32) * 0.9, np.full(256, 0.4)
+        self.share1[::32] = 0.01  # a context that was never met
+        self.counts = np.zeros(alphabet, np.int64)
         self.prev1 = np.zeros(lanes, np.int64)
         self.prev2 = np.zeros(lanes, np.int64)
         self.step = 0
@@ -47,43 +89,103 @@ class _Model:
 
     def _frequencies(self):
         if self.met:
-            self.counts += np.bincount(np.concatenate(self.met), minlength=self.alphabet) * 16
+            self.counts += np.bincount(np.concatenate(self.met), minlength=self.alphabet) * 32
             self.met = []
-        room = (1 << ID_BITS) - self.alphabet
-        f = 1 + self.counts * room // int(self.counts.sum())
+        room = _ONE - self.alphabet
+        total = int(self.counts.sum()) + self.alphabet
+        self.freq = f = 1 + (self.counts + 1) * room // total
         self.cum = np.zeros(self.alphabet + 1, np.int64)
         np.cumsum(f, out=self.cum[1:])
-        f[-1] += (1 << ID_BITS) - self.cum[-1]  # the last id takes what rounding leaves
-        self.cum[-1] = 1 << ID_BITS
+        f[-1] += _ONE - self.cum[-1]  # the last id takes what rounding leaves
+        self.cum[-1] = _ONE
         if self.inverse:
             self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), f)
 
     def _weights(self):
-        total = self.right.sum(axis=1)
-        w2 = 1 + self.right[:, 0] * ((1 << MIX_BITS) - 3) // total
-        w1 = 1 + self.right[:, 1] * ((1 << MIX_BITS) - 3) // total
-        self.w2, self.w21 = w2, w2 + w1
+        scale = (_MIX - 3) / self.seen
+        self.w2 = 1 + (self.share2 * scale).astype(np.int64)
+        self.w1 = 1 + (self.share1 * scale).astype(np.int64)
+        self.w0 = _MIX - self.w2 - self.w1
 
     def predict(self):
-        self.at = (self.prev2 * 40503 + self.prev1 * 2654435761 >> 7) & ((1 << _TABLE_BITS) - 1)
-        self.p2, self.p1 = self.next2[self.at], self.next1[self.prev1]
-        self.c2, self.c1 = self.sure2[self.at], self.sure1[self.prev1]
-        self.state = self.c2.astype(np.int64) * 16 + self.c1 * 2 + (self.p1 == self.p2)
-
-    def update(self, ids: np.ndarray):
-        hit2, hit1 = ids == self.p2, ids == self.p1
-        which = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.right += np.bincount(self.state * 3 + which, minlength=384).reshape(128, 3)
-        # A prediction that was wrong loses confidence, and its place once it has none.
-        self.next2[self.at] = np.where(self.c2 > 1, self.p2, ids)
-        self.sure2[self.at] = np.where(hit2, np.minimum(self.c2 + 1, 7), np.where(self.c2 > 1, self.c2 >> 1, 1))
-        self.next1[self.prev1] = np.where(self.c1 > 1, self.p1, ids)
-        self.sure1[self.prev1] = np.where(hit1, np.minimum(self.c1 + 1, 7), np.where(self.c1 > 1, self.c1 >> 1, 1))
-        self.met.append(ids)
-        self.prev2, self.prev1 = self.prev1, ids
+        mixed = self.prev2 * 0x2545F4914F6CDD1D + self.prev1 * 0x1B873593CC9E2D51
+        self.at = (mixed >> 40) & ((1 << _TABLE_BITS) - 1)
+        self.check = (mixed >> 24) & 0xFFFF
+        slot = self.slots2[self.at]
+        slot *= (slot >> 24) == self.check
+        self.c, self.n2 = slot & _ID, (slot >> ID_BITS) & 7
+        slot = self.slots1[self.prev1]
+        self.a, self.b, self.n1 = slot & _ID, (slot >> ID_BITS) & _ID, slot >> 2 * ID_BITS
+        self.state = self.n2 * 32 + self.kind1[self.n1]
+        w1 = self.w1[self.state]
+        part = self.part1[self.n1]
+        self.mass_a = w1 * part
+        self.mass_b = (w1 << ID_BITS) - self.mass_a
+        self.mass_c = self.w2[self.state] << ID_BITS
+        self.rest = self.w0[self.state]
+
+    def interval(self, x: np.ndarray):
+        """Where the interval of each id begins and its size, the parts of it by order kept for the update."""
+        self.is_a, self.is_b, self.is_c = x == self.a, x == self.b, x == self.c
+        self.from1 = self.mass_a * self.is_a
+        self.from1 += self.mass_b * self.is_b
+        self.from2 = self.mass_c * self.is_c
+        start = self.rest * self.cum[x]
+        start += self.mass_a * (self.a < x)
+        start += self.mass_b * (self.b < x)
+        start += self.mass_c * (self.c < x)
+        size = self.rest * self.freq[x]
+        size += self.from1
+        size += self.from2
+        return start, size
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals the values lie."""
+        a, b, c, rest, cum = self.a, self.b, self.c, self.rest, self.cum
+        ma, mb, mc = self.mass_a, self.mass_b, self.mass_c
+        ab, ac, bc = a < b, a < c, b < c
+        left = value.copy()
+        below = rest * cum[a] + mb * ~ab * (a != b) + mc * (c < a)
+        in_a = value >= below
+        left -= ma * in_a
+        found_a = in_a & (value < below + rest * self.freq[a] + ma + mb * (a == b) + mc * (a == c))
+        below = rest * cum[b] + ma * ab + mc * (c < b)
+        in_b = value >= below
+        left -= mb * in_b
+        found_b = in_b & (value < below + rest * self.freq[b] + mb + ma * (a == b) + mc * (b == c))
+        below = rest * cum[c] + ma * ac + mb * (b < c)
+        in_c = value >= below
+        left -= mc * in_c
+        found_c = in_c & (value < below + rest * self.freq[c] + mc + ma * (a == c) + mb * (b == c))
+        # Behind the ids that lie below, what remains is order 0's.
+        left[found_a | found_b | found_c] = 0
+        x = self.id_at[left // rest].astype(np.int64)
+        return np.where(found_a, a, np.where(found_b, b, np.where(found_c, c, x)))
+
+    def update(self, x: np.ndarray, size: np.ndarray):
+        state = self.state
+        unit = _SHARE / size
+        self.seen += np.bincount(state, minlength=256)
+        self.share2 += np.bincount(state, np.rint(self.from2 * unit), 256) * (1 / _SHARE)
+        self.share1 += np.bincount(state, np.rint(self.from1 * unit), 256) * (1 / _SHARE)
+        outcome = np.where(self.is_a, 0, 8192 - 4096 * self.is_b)
+        to = self.step1[outcome + self.n1]
+        first = np.where(to & _FIRST, x, self.a)
+        second = np.where(to & _SECOND, x, self.b)
+        swap = (to & _SWAP) != 0
+        slot = np.where(swap, second | first << ID_BITS, first | second << ID_BITS)
+        slot |= (to & 4095) << 2 * ID_BITS
+        self.slots1[self.prev1] = slot
+        slot = np.where((self.n2 > 1) | self.is_c, self.c, x)
+        slot |= _STEP2[self.n2 + 8 * self.is_c] << ID_BITS
+        slot |= self.check << 24
+        self.slots2[self.at] = slot
+        self.met.append(x)
+        self.prev2, self.prev1 = self.prev1, x
         self.step += 1
-        self._weights()
-        if self.step in (1, 2, 4, 8) or self.step % 16 == 0:
+        if self.step < 16 or self.step % 4 == 0:
+            self._weights()
+        if self.step in (1, 2, 3, 4, 6, 8, 12) or self.step % 16 == 0:
             self._frequencies()
 
 
@@ -102,29 +204,15 @@ def encode_block(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     out = np.zeros((lanes, 2 * steps + 8), np.uint16)
     sizes = np.zeros(lanes, np.int64)
-    for t in range(steps):
-        x = grid[t]
+    for x in grid:
         model.predict()
-        w2, w21 = model.w2[model.state], model.w21[model.state]
-        hit2, hit1 = x == model.p2, x == model.p1
-        start = np.where(hit2, 0, np.where(hit1, w2, w21))
-        size = np.where(hit2, w2, np.where(hit1, w21 - w2, (1 << MIX_BITS) - w21))
-        start, size = start << ID_BITS, size << ID_BITS
-        rest = ~(hit2 | hit1)
-        # By order 0 an id gets its share of what the mixture leaves to that order.
-        share = (1 << MIX_BITS) - w21
-        a, b = model.cum[x], model.cum[x + 1]
-        start = np.where(rest, start + share * a, start).astype(np.uint64)
-        size = np.where(rest, share * (b - a), size).astype(np.uint64)
+        start, size = model.interval(x)
         unit = width >> _U32
-        low = low + unit * start
-        width = unit * size
+        low += unit * start.view(np.uint64)
+        width = unit * size.view(np.uint64)
         _shift_out(low, width, out, sizes)
-        model.update(x)
-    for _ in range(4):
-        out[np.arange(lanes), sizes] = (low >> _U48).astype(np.uint16)
-        low <<= _U16
-        sizes += 1
+        model.update(x, size)
+    _flush(low, width, out, sizes)
     return out[np.arange(out.shape[1]) < sizes[:, None]], sizes
 
 
@@ -141,6 +229,20 @@ def _shift_out(low, width, out, sizes):
         one = one[((lo ^ (lo + wi)) < _TOP) | (wi < _BOTTOM)]
 
 
+def _flush(low, width, out, sizes):
+    """The fewest words that tell a value in each lane's last interval, whatever follows them."""
+    done = np.zeros(len(low), bool)
+    for k in range(1, 5):
+        unit = np.uint64(1) << np.uint64(64 - 16 * k)
+        value = (low + unit - np.uint64(1)) // unit * unit
+        fits = ~done & (value >= low) & (value - low + unit - np.uint64(1) < width) | (~done if k == 4 else False)
+        one = np.flatnonzero(fits)
+        for j in range(k):
+            out[one, sizes[one]] = (value[one] >> np.uint64(48 - 16 * j)).astype(np.uint16)
+            sizes[one] += 1
+        done |= fits
+
+
 def decode_block(words: np.ndarray, sizes: np.ndarray, n: int, alphabet: int) -> np.ndarray:
     lanes, steps = _shape(n)
     model = _Model(alphabet, lanes, inverse=True)
@@ -153,24 +255,11 @@ def decode_block(words: np.ndarray, sizes: np.ndarray, n: int, alphabet: int) ->
     grid = np.empty((steps, lanes), np.int64)
     for t in range(steps):
         model.predict()
-        w2, w21 = model.w2[model.state], model.w21[model.state]
         unit = width >> _U32
-        value = ((code - low) // unit).astype(np.int64)
-        which = value >> ID_BITS
-        hit2 = which < w2
-        hit1 = ~hit2 & (which < w21)
-        x = np.where(hit2, model.p2, model.p1).astype(np.int64)
-        start = np.where(hit2, 0, w2) << ID_BITS
-        size = np.where(hit2, w2, w21 - w2) << ID_BITS
-        rest = np.flatnonzero(which >= w21)
-        share = (1 << MIX_BITS) - w21[rest]
-        left = value[rest] - (w21[rest] << ID_BITS)
-        found = model.id_at[left // share]
-        x[rest] = found
-        start[rest] = (w21[rest] << ID_BITS) + share * model.cum[found]
-        size[rest] = share * (model.cum[found + 1] - model.cum[found])
-        low = low + unit * start.astype(np.uint64)
-        width = unit * size.astype(np.uint64)
+        x = model.find(((code - low) // unit).view(np.int64))
+        start, size = model.interval(x)
+        low += unit * start.view(np.uint64)
+        width = unit * size.view(np.uint64)
         one = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
         while len(one):
             lo, wi = low[one], width[one]
@@ -181,13 +270,13 @@ def decode_block(words: np.ndarray, sizes: np.ndarray, n: int, alphabet: int) ->
             low[one], width[one] = lo, wi
             one = one[((lo ^ (lo + wi)) < _TOP) | (wi < _BOTTOM)]
         grid[t] = x
-        model.update(x)
+        model.update(x, size)
     return grid.T.ravel()[:n]
 
 
-# A block in a file: mark, ids, alphabet, lanes, words, crc32 of the ids (32 bits each), crc32 of sizes and words.
-MARK = b"CMB1"
-HEADER = np.dtype([("mark", "S4"), ("n", "<u4"), ("alphabet", "<u4"), ("lanes", "<u4"), ("words", "<u4"), ("ids_crc", "<u4"), ("data_crc", "<u4")])
+# A block in a file: mark, ids, alphabet, bytes of the deflated sizes, words, crc32 of the ids (32 bits each), crc32 of sizes and words.
+MARK = b"CMB2"
+HEADER = np.dtype([("mark", "S4"), ("n", "<u4"), ("alphabet", "<u4"), ("table", "<u4"), ("words", "<u4"), ("ids_crc", "<u4"), ("data_crc", "<u4")])
 
 
 class Corrupt(ValueError):
@@ -196,8 +285,9 @@ class Corrupt(ValueError):
 
 def pack_block(ids: np.ndarray, alphabet: int) -> bytes:
     words, sizes = encode_block(ids, alphabet)
-    data = sizes.astype("<u4").tobytes() + words.astype("<u2").tobytes()
-    head = np.array([(MARK, len(ids), alphabet, len(sizes), len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(data))], HEADER)
+    table = zlib.compress(np.diff(sizes, prepend=0).astype("<i4").tobytes(), 6)
+    data = table + words.astype("<u2").tobytes()
+    head = np.array([(MARK, len(ids), alphabet, len(table), len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(data))], HEADER)
     return head.tobytes() + data
 
 
@@ -206,13 +296,16 @@ def unpack_block(raw: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     if len(raw) < at + HEADER.itemsize:
         raise Corrupt("header cut short")
     head = np.frombuffer(raw, HEADER, 1, at)[0]
+    n, words, table = int(head["n"]), int(head["words"]), int(head["table"])
     at += HEADER.itemsize
-    end = at + 4 * int(head["lanes"]) + 2 * int(head["words"])
+    end = at + table + 2 * words
     data = raw[at:end]
-    if head["mark"] != MARK or len(data) < end - at or zlib.crc32(data) != head["data_crc"] or head["lanes"] != _shape(int(head["n"]))[0]:
+    if head["mark"] != MARK or len(data) < end - at or zlib.crc32(data) != head["data_crc"]:
         raise Corrupt("block damaged")
-    sizes = np.frombuffer(data, "<u4", head["lanes"]).astype(np.int64)
-    ids = decode_block(np.frombuffer(data, "<u2", head["words"], 4 * int(head["lanes"])), sizes, int(head["n"]), int(head["alphabet"]))
+    sizes = np.cumsum(np.frombuffer(zlib.decompress(data[:table]), "<i4").astype(np.int64))
+    if len(sizes) != _shape(n)[0] or sizes.sum() != words:
+        raise Corrupt("shape of the block")
+    ids = decode_block(np.frombuffer(data, "<u2", words, table), sizes, n, int(head["alphabet"]))
     if zlib.crc32(ids.astype("<u4").tobytes()) != head["ids_crc"]:
         raise Corrupt("ids differ from their checksum")
     return ids, end

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from seqloom.llm import op02_bpe, op05_ids
+from seqloom.llm import op02_bpe, op05_ids, rangecoder
 from seqloom.llm.rangecoder import BLOCK, Corrupt, pack_block, unpack_block
 from seqloom.llm.wordbpe import WordBpe, tokenizer_path
 
@@ -78,6 +78,39 @@ def test_blocks():
     assert BLOCK >= 1 << 16
 
 
+def bits(ids):
+    block = pack_block(ids, 49408)
+    back, end = unpack_block(block)
+    assert (back == ids).all() and end == len(block)
+    return 8 * len(block) / len(ids)
+
+
+def test_contexts_are_mixed():
+    rng, n = np.random.default_rng(4), 1 << 19
+    symbols = rng.permutation(49408)[:500]
+    assert bits(np.tile(rng.permutation(symbols)[:300], n // 300 + 1)[:n]) < 0.5
+    # Each of 500 ids has two equally likely successors: one bit an id.
+    after, side, at = rng.integers(0, 500, (500, 2)), rng.integers(0, 2, n), [0]
+    for s in side[1:].tolist():
+        at.append(after[at[-1], s])
+    assert bits(symbols[np.array(at)]) < 1.3
+    # Where the ids before tell nothing, the contexts cost little.
+    p = 1 / np.arange(1, 501)
+    p /= p.sum()
+    entropy = -(p * np.log2(p)).sum()
+    assert entropy < bits(symbols[rng.choice(500, n, p=p)]) < 1.03 * entropy
+    # Two ids before tell what one does not: the third is their sum.
+    pairs = rng.integers(0, 40, (n // 3, 2))
+    assert bits(symbols[(np.column_stack([pairs, pairs.sum(axis=1) % 40]) + [0, 40, 80]).ravel()]) < (2 * np.log2(40)) / 3 * 1.12
+
+
+def test_weights_are_learnt(monkeypatch):
+    ids = np.tile(np.random.default_rng(5).permutation(49408)[:300], 400)
+    learnt = bits(ids)
+    monkeypatch.setattr(rangecoder._Model, "_weights", lambda self: vars(self).update(w2=np.full(256, 1365), w1=np.full(256, 1365), w0=np.full(256, 1366)))
+    assert bits(ids) > learnt + 0.3
+
+
 def test_files(spark, library, tmp_path):
     df = documents(spark, extra=True)
     want, start = [], 0
