@@ -5,7 +5,8 @@ of it. A task writes files of its own names to the shared folder, rolled at ROLL
 a finished task has listed are read, so a lost or repeated task leaves at most unread files.
 
 The reader checks each record's member, headers, length and digests. After a failed check it searches
-for the next valid member or version line, goes on there, and logs the bytes in between as a gap.
+for the next valid member or version line, also within a member of many records, goes on there, and logs
+the bytes in between as a gap. What it finds so is marked as salvaged.
 
 A null html is an empty payload. Rows without a page_id are responses of their own and are revisited by
 none. Repeated rows are written each; those with the largest page_id are all responses. Empty tables
@@ -70,9 +71,9 @@ def _listed(path: str, records: int, size: int):
     return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([records], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
 
-_READ = "path string, offset long, length long, reason string, type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+_READ = "path string, offset long, inner long, length long, salvaged boolean, reason string, type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 _COLUMNS = [c.split()[0] for c in _READ.split(", ")]
-_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in _READ.split(", ")])
+_ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[c.split()[1]]) for c in _READ.split(", ")])
 
 
 def read(files: DataFrame, payloads: bool = True) -> DataFrame:
@@ -92,13 +93,13 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
                 rows, held = [], 0
                 for x in _records(path):
                     if isinstance(x, Gap):
-                        rows.append((path, x.offset, x.length, x.reason, *[None] * 7))
+                        rows.append((path, x.offset, x.inner, x.length, None, x.reason, *[None] * 7))
                     else:
                         kind, h = x.headers.get("warc-type"), x.headers
                         full = kind != "revisit"
                         size = len(x.payload) if full else _number(x.http.get("content-length"))
                         name = digest(x.payload) if full else h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                        rows.append((path, x.offset, x.length, None, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), name, size, x.payload if payloads else None))
+                        rows.append((path, x.offset, x.inner, x.length, x.salvaged, None, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), name, size, x.payload if payloads else None))
                         held += len(x.payload) if payloads else 0
                     if len(rows) >= 1000 or held > 16 << 20:
                         yield _batch(rows)
@@ -130,7 +131,7 @@ def _records(uri: str):
 
 def gaps(found: DataFrame) -> DataFrame:
     """The quarantine log: bytes of each file that held no valid record."""
-    return found.where("type is null").select("path", "offset", "length", "reason")
+    return found.where("type is null").select("path", "offset", "inner", "length", "reason")
 
 
 def read_archives(spark: SparkSession, paths: list[str], payloads: bool = True) -> DataFrame:

@@ -1,14 +1,16 @@
 import base64
+import gzip
 import hashlib
 import math
 import random
+import time
 import xml.etree.ElementTree as ET
 
 import pytest
 
 from seqloom.llm import op08_warc as W
 from seqloom.llm import op09_html as H
-from seqloom.llm import htmltext
+from seqloom.llm import htmltext, warc
 from seqloom.llm.htmltext import extract
 from seqloom.llm.warc import Gap, Record, digest, page_of, salvage, write_record
 
@@ -45,8 +47,6 @@ def test_payloads_and_rolled_files(spark, tmp_path):
 
 
 def plain(record):
-    import gzip
-
     return gzip.decompress(record)
 
 
@@ -92,6 +92,69 @@ def test_gaps_are_logged(spark, tmp_path):
     assert [(r.offset, r.length) for r in W.gaps(found).orderBy("offset").collect()] == [(0, 5), (5 + len(good), 30)]
 
 
+def ids_of(out):
+    return [page_of(o.headers["warc-record-id"]) for o in out if isinstance(o, Record)]
+
+
+def made(n, text="page {} of the archive\r\n\r\nwith lines\r\n"):
+    texts = [(text.format(i) * 30).encode() for i in range(n)]
+    return texts, [plain(write_record(i, f"http://x/{i}", t, digest(t), None)) for i, t in enumerate(texts)]
+
+
+def test_healthy_plain_archives_take_time_in_proportion():
+    _, records = made(1, "no bare blank line in here\r\n")
+    data = b"".join([records[0]] * (16_000_000 // len(records[0])))
+    start = time.process_time()
+    assert len(ids_of(salvage(data))) == len(data) // len(records[0])
+    assert time.process_time() - start < 1.5
+    noise = b"WARC/1.1\r\n" * 2000 + b"x" * 2_000_000
+    start = time.process_time()
+    assert [o.length for o in salvage(noise)] and sum(o.length for o in salvage(noise)) == len(noise)
+    assert time.process_time() - start < 1.5
+
+
+@pytest.mark.parametrize("keep", [64 << 20, 1000])
+def test_members_of_many_records(monkeypatch, keep):
+    monkeypatch.setattr(warc, "_KEEP", keep)
+    texts, records = made(20)
+    good = gzip.compress(b"".join(records))
+    out = list(salvage(good + good))
+    assert ids_of(out) == [*range(20)] * 2 and not any(o.salvaged for o in out) and {o.offset for o in out} == {0, len(good)}
+    # A wrong digest costs its record, and its gap is logged in inflated bytes.
+    wrong = [r.replace(b"page 7", b"page 8") if i == 7 else r for i, r in enumerate(records)]
+    out = list(salvage(gzip.compress(b"".join(wrong)) + good))
+    assert ids_of(out) == [i for i in range(20) if i != 7] + [*range(20)]
+    assert [(o.inner, o.length, o.reason) for o in out if isinstance(o, Gap)] == [(sum(map(len, records[:7])), len(records[7]), "block digest")]
+    # A broken header line costs its record; what follows is found by its version line.
+    wrong = [r.replace(b"Content-Length: ", b"Content+Length; ") if i == 3 else r for i, r in enumerate(records)]
+    out = list(salvage(gzip.compress(b"".join(wrong))))
+    assert ids_of(out) == [i for i in range(20) if i != 3] and [o.salvaged for o in out if isinstance(o, Record)] == [False] * 3 + [True] * 16
+    # A member cut short, or with a changed byte, gives what can be inflated before the fault.
+    noise = random.Random(2)
+    texts = [noise.randbytes(9000) for _ in range(20)]
+    packed = gzip.compress(b"".join(plain(write_record(i, "u", t, digest(t), None)) for i, t in enumerate(texts)))
+    for bad in (packed[: len(packed) * 2 // 3], packed[: len(packed) // 2] + b"\0\xff\0\xff" * 9 + packed[len(packed) // 2 + 36 :]):
+        out = list(salvage(bad + good))
+        found = [o for o in out if isinstance(o, Record) and o.offset == 0]
+        assert len(found) >= 9 and all(o.salvaged and o.payload == texts[page_of(o.headers["warc-record-id"])] for o in found)
+        assert ids_of(out)[-20:] == [*range(20)] and any(isinstance(o, Gap) and o.inner is None for o in out)
+
+
+def test_what_a_payload_quotes_is_no_record():
+    quoted = plain(write_record(99, "http://quoted", b"abc", digest(b"abc"), None))
+    inner = [b"before\r\n" + quoted + b"after"] * 3
+    records = [plain(write_record(i, "u", t, digest(t), None)) for i, t in enumerate(inner)]
+    for data in (b"".join(records), gzip.compress(b"".join(records))):
+        assert ids_of(salvage(data)) == [0, 1, 2]
+    records[1] = records[1].replace(b"before", b"befool")  # its length still tells where it ends
+    for data in (b"".join(records), gzip.compress(b"".join(records))):
+        out = list(salvage(data))
+        assert ids_of(out) == [0, 2] and [o.reason for o in out if isinstance(o, Gap)] == ["block digest"]
+    records[1] = records[1].replace(b"Content-Length", b"Content-Langth")  # nothing tells: what is found is marked
+    out = [o for o in salvage(b"".join(records)) if isinstance(o, Record)]
+    assert [(page_of(o.headers["warc-record-id"]), o.salvaged) for o in out][0] == (0, False) and all(o.salvaged for o in out[1:])
+
+
 ARTICLE = "<h1>Title &amp; more</h1><p>First of <b>all</b> this is a fairly long paragraph of an article, with a <a href=x>link</a>.</p><p>Sec&#111;nd  paragraph\n that is also of some length.</p><ul><li>item one<li>item two</ul>"
 TEXT = "Title & more First of all this is a fairly long paragraph of an article, with a link. Second paragraph that is also of some length. item one item two"
 AROUND = [
