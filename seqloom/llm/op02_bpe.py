@@ -1,4 +1,8 @@
-"""BPE encoding and decoding with tree concatenation of long unsplit text.
+"""BPE encoding and decoding with tree concatenation of long text.
+
+A text of more than a leaf is cut into leaves anywhere, also within words; they are encoded by themselves,
+and neighbours are joined level by level by encoding growing windows around each cut again, until both
+sides agree. The leaves of one text are encoded in one task, side by side with those of other texts.
 
 Nulls and empty texts encode to no ids and decode to the empty text. Repeated rows are encoded each
 by itself; an empty table gives an empty result; columns besides the two that are named are not read.
@@ -18,7 +22,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def encode_decode(df: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string): each whole text encoded, and its ids decoded again.
+    """(id, ids array<int>, decoded string, n_joins): each whole text encoded, its ids decoded again, and the joins of its tree.
 
     One pass without a shuffle. A worker holds one Arrow batch, its encoder and its bounded caches.
     """
@@ -29,17 +33,18 @@ def encode_decode(df: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_
     def work(batches):
         bpe = word_bpe(tokenizer_path(tokenizer))
         for batch in batches:
-            ids, decoded, sizes = [], [], [0]
+            ids, decoded, sizes, joins = [], [], [0], [bpe.joins]
             for text in batch.column("text").to_pylist():
                 one = bpe.encode(text)
+                joins.append(bpe.joins)
                 ids.append(one)
                 decoded.append(bpe.decode(one))
                 sizes.append(len(one))
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string()), pa.array(np.diff(joins))], names=["doc_id", "ids", "decoded", "n_joins"])
 
-    return source.mapInArrow(work, f"doc_id {key}, ids array<int>, decoded string")
+    return source.mapInArrow(work, f"doc_id {key}, ids array<int>, decoded string, n_joins long")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
@@ -50,4 +55,5 @@ def digests(encoded: DataFrame) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        "n_joins",
     )

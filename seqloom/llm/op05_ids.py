@@ -76,7 +76,7 @@ def write(docs: DataFrame, home: str, tokenizer: str = TOKENIZER, end_id: int =
 
     def work(batches):
         bpe, writer, number, task = word_bpe(tokenizer_path(tokenizer)), None, 0, 0
-        alphabet = max(len(bpe.strings), end_id + 1)
+        alphabet, end = max(len(bpe.strings), end_id + 1), (end_id,)
 
         def listed():
             d, k, b = writer.close()
@@ -87,7 +87,7 @@ def write(docs: DataFrame, home: str, tokenizer: str = TOKENIZER, end_id: int =
             for task, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("task", "doc_id", "text"))):
                 if writer is None:
                     writer = _Writer(f"{home}/ids/{uuid.uuid4().hex}.ids", alphabet)
-                writer.add(doc_id, np.append(bpe.encode(text), np.int32(end_id)))
+                writer.add(doc_id, bpe.encode(text, end))
                 if writer.ids >= roll:
                     yield listed()
                     writer, number = None, number + 1

@@ -8,8 +8,8 @@ every id. The probability of an id is the weighted sum of what the three give it
 learnt for each state of the two contexts (how often they were met, and how often they failed) by
 online expectation: an order's share of the probability of each id that came is added to its weight.
 
-An id is coded in the interval that the mixture's cumulative distribution gives it, in 32 bits of
-precision: 12 for weights and 20 within an order. Intervals are integers, and what is learnt from
+An id is coded in the interval that the mixture's cumulative distribution gives it, in 31 bits of
+precision: 11 for weights and 20 within an order. Intervals are integers, and what is learnt from
 quotients is rounded to whole numbers first, so every machine decodes what any other has coded.
 """
 
@@ -21,17 +21,20 @@ import zlib
 import numpy as np
 
 #: Ids of a block, and lanes of a full one.
-BLOCK, LANES = 1 << 20, 2048
+BLOCK, LANES = 1 << 21, 4096
 #: Ids that a lane has at least, where the block is smaller.
 LEAST = 512
-MIX_BITS, ID_BITS = 12, 20
+MIX_BITS, ID_BITS = 11, 20
 _MIX, _ONE, _ID = 1 << MIX_BITS, 1 << ID_BITS, (1 << ID_BITS) - 1
-_TABLE_BITS = 20
+#: The largest alphabet: every id has a part of an order's precision, and a quarter is left for frequencies.
+MOST_IDS = 3 * _ONE // 4
+#: Contexts of order 2 that are held; a hash with a check tells them apart, and the latest stays.
+_TABLE_BITS = 18
 #: Parts of a unit in which an order's share of an id's probability is counted.
 _SHARE = 256.0
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _LOW = np.uint64((1 << 32) - 1)
-_U16, _U32, _U48 = np.uint64(16), np.uint64(32), np.uint64(48)
+_U16, _U31, _U48 = np.uint64(16), np.uint64(MIX_BITS + ID_BITS), np.uint64(48)
 #: Flags of a step of an order-1 counter: the two ids change places, the first or the second is replaced.
 _SWAP, _FIRST, _SECOND = 1 << 12, 1 << 13, 1 << 14
 
@@ -60,30 +63,30 @@ def _counters():
     often = np.digitize(hits + miss, [2, 4, 9])
     kind = np.where(empty, 0, often * 8 + failing * 2 + (n1 > 0))
     first = np.where(n1 == 0, _ONE, _ONE * (2 * n0 + 1) // (2 * hits + 2))
-    return step, kind, first
+    return step & 4095, kind, first.astype(np.int32), *(-((step & f) != 0).astype(np.int32) for f in (_SWAP, _FIRST, _SECOND))
 
 
 #: The step of an order-2 counter: failure, then success.
-_STEP2 = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])
+_STEP2 = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int32) << ID_BITS
 
 
 class _Model:
     """What the coder and the decoder know alike before each step."""
 
     def __init__(self, alphabet: int, lanes: int, inverse: bool = False):
-        if alphabet > _ONE:
+        if alphabet > MOST_IDS:
             raise ValueError("more ids than the coder has room for")
         self.alphabet, self.inverse, self.met = alphabet, inverse, []
-        self.step1, self.kind1, self.part1 = _counters()
-        self.slots2 = np.zeros(1 << _TABLE_BITS, np.int64)  # id, counter, check
-        self.slots1 = np.zeros(alphabet, np.int64)  # first id, second id, counter
+        self.step1, self.kind1, self.part1, self.swap1, self.first1, self.second1 = _counters()
+        self.slots2 = np.zeros(1 << _TABLE_BITS, np.int32)  # id, counter, check
+        self.firsts, self.seconds, self.counter1 = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int64)
         self.seen = np.full(256, 4.0)
         self.share2, self.share1 = np.repeat([0.5, 1, 2, 2.5, 3, 3, 3.5, 3.5], 32) * 0.9, np.full(256, 0.4)
         self.share1[::32] = 0.01  # a context that was never met
         self.counts = np.zeros(alphabet, np.int64)
         self.prev1 = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
-        self.step = 0
+        self.id1, self.id2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.step = self.renewed = 0
         self._frequencies()
         self._weights()
 
@@ -92,100 +95,108 @@ class _Model:
             self.counts += np.bincount(np.concatenate(self.met), minlength=self.alphabet) * 32
             self.met = []
         room = _ONE - self.alphabet
-        total = int(self.counts.sum()) + self.alphabet
-        self.freq = f = 1 + (self.counts + 1) * room // total
-        self.cum = np.zeros(self.alphabet + 1, np.int64)
-        np.cumsum(f, out=self.cum[1:])
-        f[-1] += _ONE - self.cum[-1]  # the last id takes what rounding leaves
-        self.cum[-1] = _ONE
+        f = 1 + (self.counts + 1) * room // (int(self.counts.sum()) + self.alphabet)
+        cum = np.zeros(self.alphabet + 1, np.int64)
+        np.cumsum(f, out=cum[1:])
+        f[-1] += _ONE - cum[-1]  # the last id takes what rounding leaves
+        self.freq, self.cum = f.astype(np.int32), cum[:-1].astype(np.int32)
         if self.inverse:
-            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.int32), f)
+            self.id_at = np.repeat(np.arange(self.alphabet, dtype=np.uint16 if self.alphabet <= 1 << 16 else np.int32), f)
 
     def _weights(self):
         scale = (_MIX - 3) / self.seen
-        self.w2 = 1 + (self.share2 * scale).astype(np.int64)
-        self.w1 = 1 + (self.share1 * scale).astype(np.int64)
+        self.w2 = 1 + (self.share2 * scale).astype(np.int32)
+        self.w1 = 1 + (self.share1 * scale).astype(np.int32)
         self.w0 = _MIX - self.w2 - self.w1
 
     def predict(self):
-        mixed = self.prev2 * 0x2545F4914F6CDD1D + self.prev1 * 0x1B873593CC9E2D51
-        self.at = (mixed >> 40) & ((1 << _TABLE_BITS) - 1)
-        self.check = (mixed >> 24) & 0xFFFF
-        slot = self.slots2[self.at]
-        slot *= (slot >> 24) == self.check
-        self.c, self.n2 = slot & _ID, (slot >> ID_BITS) & 7
-        slot = self.slots1[self.prev1]
-        self.a, self.b, self.n1 = slot & _ID, (slot >> ID_BITS) & _ID, slot >> 2 * ID_BITS
-        self.state = self.n2 * 32 + self.kind1[self.n1]
-        w1 = self.w1[self.state]
-        part = self.part1[self.n1]
-        self.mass_a = w1 * part
+        mixed = self.id2 * np.int32(0x2545F491)
+        mixed ^= self.id1
+        mixed *= np.int32(0x1B873593)
+        self.check = (mixed & 0xFF0) << 19
+        self.at = (mixed >> 12 & ((1 << _TABLE_BITS) - 1)).astype(np.int64)
+        slot = self.slots2.take(self.at)
+        slot &= -((slot ^ self.check) >> 23 == 0).astype(np.int32) & 0x7FFFFF
+        self.c = slot & _ID
+        self.n2 = slot >> ID_BITS
+        self.a, self.b, self.n1 = self.firsts.take(self.prev1), self.seconds.take(self.prev1), self.counter1.take(self.prev1)
+        self.state = self.kind1.take(self.n1)
+        self.state += self.n2 << 5
+        w1 = self.w1.take(self.state)
+        self.mass_a = w1 * self.part1.take(self.n1)
         self.mass_b = (w1 << ID_BITS) - self.mass_a
-        self.mass_c = self.w2[self.state] << ID_BITS
-        self.rest = self.w0[self.state]
-
-    def interval(self, x: np.ndarray):
-        """Where the interval of each id begins and its size, the parts of it by order kept for the update."""
-        self.is_a, self.is_b, self.is_c = x == self.a, x == self.b, x == self.c
-        self.from1 = self.mass_a * self.is_a
-        self.from1 += self.mass_b * self.is_b
-        self.from2 = self.mass_c * self.is_c
-        start = self.rest * self.cum[x]
-        start += self.mass_a * (self.a < x)
-        start += self.mass_b * (self.b < x)
-        start += self.mass_c * (self.c < x)
-        size = self.rest * self.freq[x]
+        self.mass_c = self.w2.take(self.state) << ID_BITS
+        self.rest = self.w0.take(self.state)
+
+    def interval(self, x: np.ndarray, at: np.ndarray):
+        """Where the interval of each id begins and its size, the parts of it by order kept for the update. ``at`` is x as places."""
+        a, b, c, rest = self.a, self.b, self.c, self.rest
+        # Masks: all bits where the ids are equal or where the first is less.
+        self.is_a, self.is_b, self.is_c = ((a ^ x) - 1) >> 31, ((b ^ x) - 1) >> 31, ((c ^ x) - 1) >> 31
+        self.from1 = self.mass_a & self.is_a
+        self.from1 += self.mass_b & self.is_b
+        self.from2 = self.mass_c & self.is_c
+        start = rest * self.cum.take(at)
+        start += self.mass_a & (a - x) >> 31
+        start += self.mass_b & (b - x) >> 31
+        start += self.mass_c & (c - x) >> 31
+        size = rest * self.freq.take(at)
         size += self.from1
         size += self.from2
         return start, size
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids in whose intervals the values lie."""
-        a, b, c, rest, cum = self.a, self.b, self.c, self.rest, self.cum
+        a, b, c, rest = self.a, self.b, self.c, self.rest
         ma, mb, mc = self.mass_a, self.mass_b, self.mass_c
-        ab, ac, bc = a < b, a < c, b < c
-        left = value.copy()
-        below = rest * cum[a] + mb * ~ab * (a != b) + mc * (c < a)
-        in_a = value >= below
-        left -= ma * in_a
-        found_a = in_a & (value < below + rest * self.freq[a] + ma + mb * (a == b) + mc * (a == c))
-        below = rest * cum[b] + ma * ab + mc * (c < b)
-        in_b = value >= below
-        left -= mb * in_b
-        found_b = in_b & (value < below + rest * self.freq[b] + mb + ma * (a == b) + mc * (b == c))
-        below = rest * cum[c] + ma * ac + mb * (b < c)
-        in_c = value >= below
-        left -= mc * in_c
-        found_c = in_c & (value < below + rest * self.freq[c] + mc + ma * (a == c) + mb * (b == c))
+        a_b, a_c, b_c = a - b, a - c, b - c
+        ab, ac, bc = (((z - 1) & ~z) >> 31 for z in (a_b, a_c, b_c))  # equal
+        found, left = np.zeros_like(value), value.copy()
+        x = found.copy()
+        for z, mass, below, own in (
+            (a, ma, (mb & -a_b >> 31) + (mc & -a_c >> 31), ma + (mb & ab) + (mc & ac)),
+            (b, mb, (ma & a_b >> 31) + (mc & -b_c >> 31), mb + (ma & ab) + (mc & bc)),
+            (c, mc, (ma & a_c >> 31) + (mb & b_c >> 31), mc + (ma & ac) + (mb & bc)),
+        ):
+            below += rest * self.cum.take(z)
+            behind = value - below
+            left -= mass & ~(behind >> 31)
+            own += rest * self.freq.take(z)
+            hit = ~(behind >> 31) & (behind - own) >> 31
+            x |= z & hit
+            found |= hit
         # Behind the ids that lie below, what remains is order 0's.
-        left[found_a | found_b | found_c] = 0
-        x = self.id_at[left // rest].astype(np.int64)
-        return np.where(found_a, a, np.where(found_b, b, np.where(found_c, c, x)))
-
-    def update(self, x: np.ndarray, size: np.ndarray):
-        state = self.state
-        unit = _SHARE / size
-        self.seen += np.bincount(state, minlength=256)
-        self.share2 += np.bincount(state, np.rint(self.from2 * unit), 256) * (1 / _SHARE)
-        self.share1 += np.bincount(state, np.rint(self.from1 * unit), 256) * (1 / _SHARE)
-        outcome = np.where(self.is_a, 0, 8192 - 4096 * self.is_b)
-        to = self.step1[outcome + self.n1]
-        first = np.where(to & _FIRST, x, self.a)
-        second = np.where(to & _SECOND, x, self.b)
-        swap = (to & _SWAP) != 0
-        slot = np.where(swap, second | first << ID_BITS, first | second << ID_BITS)
-        slot |= (to & 4095) << 2 * ID_BITS
-        self.slots1[self.prev1] = slot
-        slot = np.where((self.n2 > 1) | self.is_c, self.c, x)
-        slot |= _STEP2[self.n2 + 8 * self.is_c] << ID_BITS
-        slot |= self.check << 24
+        left &= ~found
+        others = self.id_at.take((left / rest).astype(np.int64)).astype(np.int32)
+        others &= ~found
+        return x | others
+
+    def update(self, x: np.ndarray, at: np.ndarray, size: np.ndarray):
+        if self.step < 64 or self.step % 4 == 0:
+            unit = _SHARE / size
+            self.seen += np.bincount(self.state, minlength=256)
+            self.share2 += np.bincount(self.state, np.rint(self.from2 * unit), 256) * (1 / _SHARE)
+            self.share1 += np.bincount(self.state, np.rint(self.from1 * unit), 256) * (1 / _SHARE)
+            self._weights()
+        a, b = self.a, self.b
+        outcome = self.n1 + (8192 + (self.is_a & -8192) + (self.is_b & ~self.is_a & -4096))
+        first = a ^ ((a ^ x) & self.first1.take(outcome))
+        second = b ^ ((b ^ x) & self.second1.take(outcome))
+        swap = (first ^ second) & self.swap1.take(outcome)
+        self.firsts[self.prev1] = first ^ swap
+        self.seconds[self.prev1] = second ^ swap
+        self.counter1[self.prev1] = self.step1.take(outcome)
+        n2 = self.n2
+        kept = self.is_c | (1 - n2) >> 31
+        slot = x ^ ((x ^ self.c) & kept)
+        slot |= _STEP2.take(n2 + (self.is_c & 8))
+        slot |= self.check
         self.slots2[self.at] = slot
-        self.met.append(x)
-        self.prev2, self.prev1 = self.prev1, x
+        self.met.append(at)
+        self.prev1, self.id2, self.id1 = at, self.id1, x
         self.step += 1
-        if self.step < 16 or self.step % 4 == 0:
-            self._weights()
-        if self.step in (1, 2, 3, 4, 6, 8, 12) or self.step % 16 == 0:
+        if self.step - self.renewed > 3 * self.step >> 4:
+            self.renewed = self.step
             self._frequencies()
 
 
@@ -204,14 +215,14 @@ def encode_block(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     out = np.zeros((lanes, 2 * steps + 8), np.uint16)
     sizes = np.zeros(lanes, np.int64)
-    for x in grid:
+    for x, at in zip(grid.astype(np.int32), grid):
         model.predict()
-        start, size = model.interval(x)
-        unit = width >> _U32
-        low += unit * start.view(np.uint64)
-        width = unit * size.view(np.uint64)
+        start, size = model.interval(x, at)
+        unit = width >> _U31
+        low += unit * start.astype(np.uint64)
+        width = unit * size.astype(np.uint64)
         _shift_out(low, width, out, sizes)
-        model.update(x, size)
+        model.update(x, at, size)
     _flush(low, width, out, sizes)
     return out[np.arange(out.shape[1]) < sizes[:, None]], sizes
 
@@ -255,11 +266,12 @@ def decode_block(words: np.ndarray, sizes: np.ndarray, n: int, alphabet: int) ->
     grid = np.empty((steps, lanes), np.int64)
     for t in range(steps):
         model.predict()
-        unit = width >> _U32
-        x = model.find(((code - low) // unit).view(np.int64))
-        start, size = model.interval(x)
-        low += unit * start.view(np.uint64)
-        width = unit * size.view(np.uint64)
+        unit = width >> _U31
+        x = model.find(((code - low) // unit).astype(np.int32))
+        grid[t] = x
+        start, size = model.interval(x, grid[t])
+        low += unit * start.astype(np.uint64)
+        width = unit * size.astype(np.uint64)
         one = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
         while len(one):
             lo, wi = low[one], width[one]
@@ -269,8 +281,7 @@ def decode_block(words: np.ndarray, sizes: np.ndarray, n: int, alphabet: int) ->
             lo, wi = lo << _U16, wi << _U16
             low[one], width[one] = lo, wi
             one = one[((lo ^ (lo + wi)) < _TOP) | (wi < _BOTTOM)]
-        grid[t] = x
-        model.update(x, size)
+        model.update(x, grid[t], size)
     return grid.T.ravel()[:n]
 
 

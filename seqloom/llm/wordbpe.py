@@ -1,17 +1,19 @@
-"""The word-level BPE of one worker: exact, with caches of words, and tree concatenation for long unsplit text."""
+"""The word-level BPE of one worker: exact, with caches of words, and tree concatenation of long texts and long words."""
 
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Code points of unsplit text that the library gets at once; longer text is a tree of such leaves.
-LEAF = 4096
-#: Code points on either side of a join that are encoded again at first.
+#: Bytes of a text and code points of a word that are encoded at once; what is longer is a tree of such leaves.
+TEXT_LEAF, LEAF = 8192, 4096
+#: Bytes or code points on either side of a join that are encoded again at first.
 WINDOW = 64
 #: Entries of each generation of a cache, of which two are held: this bounds a worker's memory.
 CACHE = 300_000
@@ -20,6 +22,14 @@ CACHE = 300_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+_SPACE = rb" \t\n\r\x0b\f"
+_WORDS = re.compile(rb"[^%s]+" % _SPACE)
+_GIANT = re.compile(rb"[^%s]{%d,}" % (_SPACE, LEAF + 1))
+#: Bytes of printable ASCII, of white space that cuts words and of Latin letters up to U+024F, and what of them is none of these.
+_LATIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC2, 0xCA)])
+_NOT_SIMPLE = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\|")
+
+
 def tokenizer_path(name: str) -> str:
     """A path as it is; a bare file name is one of the installed public vocabularies."""
     if "/" in name:
@@ -40,15 +50,12 @@ class _Cache(dict):
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
+        value = self[key] = self.old.get(key) or self.make(key)
         return value
 
 
 def _packed(ids) -> bytes:
-    return np.asarray(ids, dtype=np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 class Encoded:
@@ -65,12 +72,13 @@ class Encoded:
 
 
 class WordBpe:
-    """Encodes as the library does, text by text; equal words are encoded once.
+    """Encodes as the library does, text by text; equal pieces are encoded once.
 
     Text is cut at ASCII white space, which the vocabulary's normalizer and pre-tokenizer drop and
-    no token crosses, so words are independent. A word of plain Latin letters goes through the
+    no token crosses, so words are independent. Text of plain Latin letters goes through the
     pre-tokenizer's pattern and the library's BPE model piece by piece; any other word goes through
-    the whole library; one longer than LEAF code points is encoded by tree concatenation.
+    the whole library. A text of more than TEXT_LEAF bytes is encoded by tree concatenation of leaves cut
+    anywhere, and so is, token by token, a word of more than LEAF code points.
     """
 
     def __init__(self, path: str):
@@ -86,6 +94,12 @@ class WordBpe:
         self.pattern = regex.compile(PATTERN)
         # Latin letters that need no Unicode normalisation and have simple lower case.
         self.simple = regex.compile(r"(?:[!-~¡-įı-ɏ])*").fullmatch
+        # The same pattern for these letters alone, which the standard library matches faster.
+        latin = "".join(map(chr, range(33, 592)))
+        letters, numbers = ("".join(regex.findall(c, latin)) for c in (r"\p{L}", r"\p{N}"))
+        self.simple_pieces = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")).findall
+        self.joins = 0  # of texts; words are remembered, so how often theirs are joined tells nothing
+        self.tokenize = t.model.tokenize
         self.pieces = _Cache(self._piece)
         self.words = _Cache(self._word)
 
@@ -104,7 +118,7 @@ class WordBpe:
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return _packed([x.id for x in self.tokenizer.model.tokenize(mapped)])
+        return _packed([x.id for x in self.tokenize(mapped)])
 
     def _word(self, word: bytes) -> bytes:
         """The ids of a word as bytes, four each: words then join without a Python number for each id."""
@@ -113,16 +127,79 @@ class WordBpe:
             return self.pieces[body.lower().decode()] + (self.pieces[mark.decode()] if mark else b"")
         text = word.decode()
         if len(text) > LEAF:
-            return _packed(self.tree(text).ids)
+            return _packed(self.tree(text).ids.tolist())
         if "<|" not in text and self.simple(text):
             return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of a whole text in UTF-8."""
+    def units(self, text: bytes) -> list[bytes]:
+        """The ids of a text's pieces or words, whichever it is made of, one after another."""
+        if not text.translate(None, _LATIN) and not _NOT_SIMPLE.search(text):
+            return list(map(self.pieces.__getitem__, self.simple_pieces(text.decode().lower())))
+        return list(map(self.words.__getitem__, text.split()))
+
+    def encode(self, text: bytes, more: tuple[int, ...] = ()) -> np.ndarray:
+        """Ids of a whole text in UTF-8, and ``more`` behind them."""
         if not self.plain:
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.int32)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), np.int32)
+            return np.array([*self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, *more], np.int32)
+        if len(text) <= TEXT_LEAF:
+            units = self.units(text)
+        elif _GIANT.search(text):
+            units = map(self.words.__getitem__, text.split())
+        else:
+            units = self.text_tree(text)
+        return np.frombuffer(b"".join([*units, _packed(more)]), np.int32)
+
+    def text_tree(self, text: bytes, leaf: int = TEXT_LEAF) -> list[bytes]:
+        """Tree concatenation of a long text: its leaves are encoded by themselves, then neighbours are joined level by level."""
+        simple = not text.translate(None, _LATIN) and not _NOT_SIMPLE.search(text)
+        cuts = [0]
+        while len(text) - cuts[-1] > leaf:
+            cut = cuts[-1] + leaf
+            while text[cut] & 0xC0 == 0x80:  # within a code point
+                cut -= 1
+            cuts.append(cut)
+        cuts.append(len(text))
+        # All stretches of a text are read in one way, so that units can be counted off.
+        units = (lambda x: list(map(self.pieces.__getitem__, self.simple_pieces(x.decode().lower())))) if simple else (lambda x: list(map(self.words.__getitem__, x.split())))
+        nodes = [(a, b, units(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+        while len(nodes) > 1:
+            up = []
+            for i in range(0, len(nodes) - 1, 2):
+                (lo, cut, left), (_, hi, right) = nodes[i : i + 2]
+                up.append((lo, hi, self.text_join(text, lo, cut, hi, left, right, units)))
+            nodes = up + nodes[len(nodes) & ~1 :]
+        return nodes[0][2]
+
+    def text_join(self, text: bytes, lo: int, cut: int, hi: int, left: list[bytes], right: list[bytes], units) -> list[bytes]:
+        """The units of [lo, hi) from those of both halves.
+
+        A window around the cut is encoded again and grown until it has a whole word that the left half
+        encodes alike, and one that the right half does: from there on both are the text's own.
+        """
+        w = WINDOW
+        while True:
+            a, b = max(lo, cut - w), min(hi, cut + w)
+            while a > lo and text[a] & 0xC0 == 0x80:  # within a code point
+                a -= 1
+            while b < hi and text[b] & 0xC0 == 0x80:
+                b += 1
+            words = [m.span() for m in _WORDS.finditer(text, a, b)]
+            first = next((x for x in words if (x[0] > a or a == lo) and x[1] < cut), None)
+            last = next((x for x in reversed(words) if x[0] > cut and (x[1] < b or b == hi)), None)
+            start, end = first[0] if first else a, last[1] if last else b
+            before, behind = len(left) - len(units(text[start:cut])), len(units(text[cut:end]))
+            agreed = [a == lo, b == hi]
+            if first:
+                one = units(text[start : first[1]])
+                agreed[0] = left[before : before + len(one)] == one
+            if last:
+                one = units(text[last[0] : end])
+                agreed[1] = right[behind - len(one) : behind] == one
+            if all(agreed):
+                self.joins += 1
+                return left[: before if first else 0] + units(text[start:end]) + right[behind if last else len(right) :]
+            w *= 2
 
     def decode(self, ids) -> str:
         """As the library's decode(ids, skip_special_tokens=False): this vocabulary has no decoder, so tokens are joined by spaces."""
