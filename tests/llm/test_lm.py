@@ -16,51 +16,84 @@ def tokens(text):
 
 
 class Brute:
-    def __init__(self, docs):
-        self.c, self.pairs, self.before = Counter(), Counter(), Counter()
+    def __init__(self, docs, order):
+        self.order, self.c, self.n_grams = order, Counter(), [None, *(Counter() for _ in range(order))]
         for i, text in docs:
             if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
                 w = ["<s>", *tokens(text), "</s>"]
                 self.c.update(w[1:])
-                self.before.update(w[:-1])
-                self.pairs.update(zip(w, w[1:]))
-        self.n, self.v, self.types = sum(self.c.values()), len(self.c), len(self.pairs)
-        self.cont, self.after = Counter(), defaultdict(lambda: [0] * 4)
-        for (v, w), k in self.pairs.items():
-            self.cont[w] += 1
-            self.after[v][min(k, 3)] += 1
-        self.high, self.low = (M._discounts([Counter(x.values())[k] for k in (1, 2, 3, 4)]) for x in (self.pairs, self.cont))
-
-    def single(self, w):
-        if not self.types:
-            return 1.0
-        k = self.cont[w]
-        return max(k - self.low[min(k, 3)], 0) / self.types + sum(self.low[min(x, 3)] for x in self.cont.values()) / self.types / (self.v + 1)
-
-    def p(self, v, w):
-        if not self.before[v]:
-            return self.single(w)
-        k, n = self.pairs[v, w], self.before[v]
-        return max(k - self.high[min(k, 3)], 0) / n + sum(self.high[j] * self.after[v][j] for j in (1, 2, 3)) / n * self.single(w)
-
-
-@pytest.mark.parametrize("shard,flush,frequent", [(3_000_000, 4_000_000, 1000), (300, 100, 20)])
-def test_brute_force(spark, monkeypatch, shard, flush, frequent):
-    for name, value in (("SHARD", shard), ("FREQUENT", frequent)):
-        monkeypatch.setattr(M, name, value)
+                self.n_grams[order].update(zip(*(w[k:] for k in range(order))))
+                for k in range(2, order):
+                    self.n_grams[k][tuple(w[:k])] += 1
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        for k in range(order, 1, -1):  # below, and not at a text's beginning, the number of words before
+            for g in list(self.n_grams[k]):
+                self.n_grams[k - 1][g[1:]] += 1
+        self.d = [None, *(M._discounts([list(x.values()).count(j) for j in (1, 2, 3, 4)]) for x in self.n_grams[1:])]
+        self.total, self.follow = [defaultdict(int) for _ in range(order + 1)], [defaultdict(lambda: [0] * 4) for _ in range(order + 1)]
+        for k in range(1, order + 1):
+            for g, c in self.n_grams[k].items():
+                self.total[k][g[:-1]] += c
+                self.follow[k][g[:-1]][min(c, 3)] += 1
+
+    def p(self, context, w):
+        """P of a word after the words of a context, the longest order last."""
+        k = len(context) + 1
+        lower = self.p(context[1:], w) if k > 1 else 1 / (self.v + 1)
+        total, d = self.total[k].get(context, 0), self.d[k]
+        if not total:
+            return lower if k > 1 else 1.0
+        c = self.n_grams[k][(*context, w)]
+        return max(c - d[min(c, 3)], 0) / total + sum(d[j] * self.follow[k][context][j] for j in (1, 2, 3)) / total * lower
+
+
+@pytest.mark.parametrize("shard,fan,order", [(3_000_000, 1024, 3), (300, 1024, 3), (700, 2, 3), (300, 1024, 2), (300, 3, 2)])
+def test_brute_force(spark, monkeypatch, shard, fan, order):
+    monkeypatch.setattr(M, "SHARD", shard)
+    monkeypatch.setattr(M, "FAN", fan)
     docs = [r for r in rows() if r[0] != 47]
     df = spark.createDataFrame(docs, SCHEMA)
-    b = Brute([r[:2] for r in docs])
-    about = M.train(df)
+    b = Brute([r[:2] for r in docs], order)
+    about = M.train(df, order=order)
     got = {r.doc_id: r for r in M.score(df, about).collect()}
-    assert about["train_tokens"] == b.n and about["vocabulary"] == b.v and about["types"] == b.types
+    assert about["train_tokens"] == b.n and about["vocabulary"] == b.v and about["types"] == len(b.n_grams[2])
+    assert about["discounts"][1] == b.d[1] and about["discounts"][order] == b.d[order]
     for i, text, *_ in docs:
         w, r = ["<s>", *tokens(text), "</s>"], got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w) - 1, sum(b.c[x] > 0 for x in w[1:]), b.n)
         assert math.isclose(r.base_score, sum(math.log10((b.c[x] + 1) / (b.n + b.v + 1)) for x in w[1:]), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(b.p(x, y)) for x, y in zip(w, w[1:])), rel_tol=1e-9)
-    for v in ("<s>", b"the", b"never seen"):
-        assert math.isclose(sum(b.p(v, w) for w in b.c) + b.p(v, "unseen"), 1.0, rel_tol=1e-9)
+        want = sum(math.log10(b.p(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(1, len(w)))
+        assert math.isclose(r.score, want, rel_tol=1e-9), i
+    for context in (("<s>",), (b"the",), (b"never seen",), ("<s>", b"the"), (b"of", b"the"), (b"the", b"of"), (b"never", b"seen")):
+        if len(context) < order:
+            assert math.isclose(sum(b.p(context, w) for w in b.c) + b.p(context, "unseen"), 1.0, rel_tol=1e-9)
+    assert len(b.c) > 150 and any(math.isclose(r.score, r.base_score) is False for r in got.values())
+
+
+def test_a_text_of_very_many_words(spark):
+    text = " ".join(f"w{i}" for i in range(1_100_000)) + " w5 w6 w7 w5 w6 w7"
+    df = spark.createDataFrame([(4, text), (3, "w5 w6 w7 w8")], "doc_id long, text string")
+    about = M.train(df)
+    assert about["vocabulary"] == 1_100_001 and about["train_tokens"] == 1_100_012
+    r = {x.doc_id: x for x in M.score(df, about).collect()}[3]
+    b = Brute([(4, text), (3, "w5 w6 w7 w8")], 3)
+    w = ["<s>", *tokens("w5 w6 w7 w8"), "</s>"]
+    assert math.isclose(r.score, sum(math.log10(b.p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(1, len(w))), rel_tol=1e-9)
+
+
+def test_files_are_let_go(tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "MAPS", 3)
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64, (20, 500), np.uint64), axis=1)
+    for i, k in enumerate(keys):
+        file = M._File(f"file://{tmp_path}/model/f-{i}")
+        file.put("a", k, np.arange(500), np.arange(500) * 2**40)
+        file.close()
+    files = M._Files(f"file://{tmp_path}")
+    for i in [*range(20), *range(20)]:
+        hit, values = files.find(f"f-{i}", "a", np.r_[keys[i], keys[i] + np.uint64(1 << 40)])
+        assert hit[:500].all() and not hit[500:].any() and (values[1][:500] == np.arange(500) * 2**40).all()
+        assert len(files.open) <= 3
+    assert not files.find("f-99", "a", keys[0])[0].any()
 
 
 def test_beats_the_base_on_held_out_texts(spark):
@@ -85,3 +118,9 @@ def test_packing():
     b = rng.integers(0, 9, 1000)
     x, y = M.unpack(M.pack(a, b), 2)
     assert (x == a).all() and (y == b).all()
+    hashes = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
+    for columns in (2, 3):
+        grams = np.unique(rng.integers(0, 40, (500, columns)), axis=0)
+        counts = rng.integers(1, 2**32, len(grams))
+        used, cols, n = M._unpack_grams(M._pack_grams(hashes, list(grams.T), counts), columns)
+        assert (n == counts).all() and all((used[c] == hashes[g]).all() for c, g in zip(cols, grams.T))
