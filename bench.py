@@ -27,14 +27,16 @@ def searches(spark: SparkSession, sf_dir: str) -> dict:
     from seqloom.operators.extract import extract, extract_pairs
     from seqloom.plans.registry import _mates, _pattern_frame, _records
 
-    few = sorted(r.pattern for r in _pattern_frame(spark, sf_dir).collect())[:100]
+    every = sorted(r.pattern for r in _pattern_frame(spark, sf_dir).collect())
+    few, ascii_only = every[:100], [p for p in every if p.isascii()][:100]
+    if len(ascii_only) < 100:
+        raise SystemExit("fewer than 100 patterns")
 
     def single(n):
         return lambda s, d: extract(_records(s, d), pats.plan(pats.prepare(few[:n]))).kept
 
     def paired(n):
-        ascii_only = [p for p in few if p.isascii()][:n]
-        return lambda s, d: extract_pairs(_mates(s, d), pats.plan(pats.prepare(ascii_only, reverse_complement=True))).kept
+        return lambda s, d: extract_pairs(_mates(s, d), pats.plan(pats.prepare(ascii_only[:n], reverse_complement=True))).kept
 
     return {"search_1x31": single(1), "search_100x31": single(100), "paired_1x31": paired(1), "paired_100x31": paired(100)}
 

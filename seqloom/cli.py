@@ -41,6 +41,8 @@ def _common(p: argparse.ArgumentParser) -> None:
     search.add_argument("-a", "--aho-corasick", action="store_true", help="multi-pattern search")
     p.add_argument("-l", "--out-log", nargs="?", const=logs.STDOUT, metavar="FILE", help="text log")
     p.add_argument("-j", "--json-log", nargs="?", const=logs.STDOUT, metavar="FILE", help="JSON log")
+    p.add_argument("--tables", metavar="FOLDER", help="counts and positions as tab-separated tables")
+    p.add_argument("--parts", action="store_true", help="write the output as a folder of parts, by all tasks at once")
     p.add_argument("-S", "--suppress-output", action="store_true", help="write no records; needs a log")
 
 
@@ -72,8 +74,10 @@ def parse(argv: list[str]) -> argparse.Namespace:
     out = a.out_fastx if a.command == "extract" else a.out_file
     if a.suppress_output and out is not None:
         top.error("-S conflicts with -o")
-    if a.suppress_output and a.out_log is None and a.json_log is None:
+    if a.suppress_output and a.out_log is None and a.json_log is None and a.tables is None:
         top.error("-S needs a log")
+    if a.parts and out in (None, logs.STDOUT):
+        top.error("--parts needs -o")
     return a
 
 
@@ -87,6 +91,8 @@ def _logs(a: argparse.Namespace, result, run: logs.Run) -> None:
         logs.write_text(result, run, a.out_log)
     if a.json_log:
         logs.write_json(result, run, a.json_log)
+    if a.tables:
+        logs.write_tables(result, a.tables)
 
 
 def run_extract(spark: SparkSession, a: argparse.Namespace, line: list[str]) -> None:
@@ -100,7 +106,9 @@ def run_extract(spark: SparkSession, a: argparse.Namespace, line: list[str]) ->
         records = zip_mates(records, fastx.read_fastx(spark, a.in_fastq_2, 2))
     result = (extract_pairs if paired else extract)(records, query, invert=a.invert_match)
     if not a.suppress_output:
-        if a.out_fastx is None or a.out_fastx == logs.STDOUT:
+        if a.parts:
+            fastx_sink.write_parts(result.kept, a.out_fastx, paired)
+        elif a.out_fastx is None or a.out_fastx == logs.STDOUT:
             fastx_sink.write_stdout(result.kept, paired)
         elif paired:
             # File names differ between mates and do not order them; places do.
@@ -121,7 +129,10 @@ def run_tag(spark: SparkSession, a: argparse.Namespace, line: list[str]) -> None
     if not a.suppress_output:
         to = None if a.out_file == logs.STDOUT else a.out_file
         header = [*alignment.header(a.in_file, kind), alignment_sink.program_line(" ".join(line))]
-        if alignment_sink.output_kind(to, kind) == "bam":
+        bam = alignment_sink.output_kind(to, kind) == "bam"
+        if a.parts:
+            (alignment_sink.write_bam_parts if bam else alignment_sink.write_sam_parts)(result.kept, header, to)
+        elif bam:
             alignment_sink.write_bam(result.kept, header, to)
         else:
             alignment_sink.write_sam(result.kept, header, to)

@@ -1,6 +1,6 @@
 """Where patterns occur in records: as a predicate, as the set found in each record, and as single hits.
 
-A record is a row with ``rec_no``, ``id``, ``seq`` and, where there are several, ``file`` and ``mate``. A
+A record is a row with ``rec_no``, ``id``, ``seq`` and, where there are several, ``file``, ``file_no`` and ``mate``. A
 null sequence holds no pattern. Occurrences overlap; positions are zero-based bytes.
 
 Three strategies give equal results. Few patterns: ``contains`` in generated code, without Python. More:
@@ -11,6 +11,7 @@ tables too large for the driver: windows of each pattern length, joined by value
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from operator import or_
 
 import ahocorasick
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import ASCII_FOLD, ascii_lower
-from seqloom.operators.patterns import PatternList
+from seqloom.operators.patterns import MULTI, PatternList
 from seqloom.session import ship
 
 #: Up to this many patterns the predicate is a chain of ``contains``.
 NATIVE_PATTERNS = 13
-HIT = "file string, mate int, rec_no long, record_id string, pattern string, position long"
+HIT = "file string, mate int, rec_no long, record_id string, file_no int, pattern string, position long"
+#: Bytes of patterns that are sent to every worker; a larger table is joined.
+MOST_PATTERN_BYTES = 64 << 20
 
 
 class Automaton:
@@ -120,11 +123,12 @@ def records_of(df: DataFrame) -> DataFrame:
         (F.col("mate") if "mate" in have else F.lit(1)).cast("int").alias("mate"),
         F.col("rec_no").cast("long").alias("rec_no"),
         F.col("id").cast("string").alias("record_id"),
+        (F.col("file_no") if "file_no" in have else F.lit(0)).cast("int").alias("file_no"),
         "seq",
     )
 
 
-_ARROW = pa.schema([("file", pa.string()), ("mate", pa.int32()), ("rec_no", pa.int64()), ("record_id", pa.string()), ("pattern", pa.string()), ("position", pa.int64())])
+_ARROW = pa.schema([("file", pa.string()), ("mate", pa.int32()), ("rec_no", pa.int64()), ("record_id", pa.string()), ("file_no", pa.int32()), ("pattern", pa.string()), ("position", pa.int64())])
 #: Hits of an Arrow batch that is sent on.
 _BATCH = 50_000
 
@@ -152,7 +156,7 @@ def hits(df: DataFrame, q: PatternList) -> DataFrame:
 
 
 def _hit_batch(batch, rows, patterns, positions):
-    of = batch.select(["file", "mate", "rec_no", "record_id"]).take(pa.array(rows, pa.int32()))
+    of = batch.select(["file", "mate", "rec_no", "record_id", "file_no"]).take(pa.array(rows, pa.int32()))
     return pa.RecordBatch.from_arrays([*of.columns, pa.array(patterns, pa.string()), pa.array(positions, pa.int64())], schema=_ARROW)
 
 
@@ -189,6 +193,34 @@ def hits_by_join(df: DataFrame, patterns: DataFrame) -> DataFrame:
     return records_of(df).mapInArrow(work, HIT).join(patterns.where("pattern <> ''").select("pattern").distinct(), "pattern").select(*_ARROW.names)
 
 
+def tallies(df: DataFrame, q: PatternList) -> DataFrame:
+    """(chars, found): for each record its bytes, and an array of the patterns in it with their occurrences; nothing else leaves the worker."""
+    shared = _shared(df, q)
+
+    def work(batches):
+        a = automaton(*shared.value)
+        for batch in batches:
+            sizes, names, counts = [0], [], []
+            for seq in batch.column("seq").to_pylist():
+                one = Counter(a.hits(seq)[0]) if seq else {}
+                names += one
+                counts += one.values()
+                sizes.append(len(names))
+            pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["pattern", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("chars"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)], names=["chars", "found"])
+
+    return df.select(F.coalesce(F.octet_length("seq"), F.lit(0)).cast("long").alias("chars"), "seq").mapInArrow(work, "chars long, found array<struct<pattern:string,n:long>>")
+
+
+def hits_of_table(df: DataFrame, patterns: DataFrame, most: int = MOST_PATTERN_BYTES) -> DataFrame:
+    """:func:`hits` for a table of patterns: sent to the workers where its size allows, else joined. One pass over the table tells."""
+    distinct = patterns.where("pattern <> ''").select("pattern").distinct()
+    if (distinct.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0) > most:
+        return hits_by_join(df, distinct)
+    found = sorted((r.pattern for r in distinct.collect()), key=str.encode)
+    return hits(df, PatternList(tuple(found), MULTI)) if found else hits_by_join(df, distinct)
+
+
 def in_report_order(found: DataFrame, q: PatternList) -> DataFrame:
     """Hits with ``hit_no`` columns that sort them as reports list them.
 
@@ -196,6 +228,6 @@ def in_report_order(found: DataFrame, q: PatternList) -> DataFrame:
     end of the match, and longest first.
     """
     if q.counting == "record":
-        return found.orderBy("rec_no", "pattern", "mate", "position")
+        return found.orderBy("file_no", "rec_no", "pattern", "mate", "position")
     end = F.col("position") + F.octet_length("pattern")
-    return found.orderBy("rec_no", "mate", end, F.octet_length("pattern").desc(), "pattern")
+    return found.orderBy("file_no", "rec_no", "mate", end, F.octet_length("pattern").desc(), "pattern")

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from hashlib import md5
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.operators.patterns import OCCURRENCE
+from seqloom.operators import matching
+from seqloom.operators.patterns import OCCURRENCE, PatternList
 
+#: What tells one record from all others.
+RECORD_KEY = ("file_no", "file", "mate", "rec_no")
 #: Windows of an Arrow batch that is sent on.
 SLICES = 50_000
+#: Distinct windows that a worker counts before it sends them on.
+HELD = 500_000
 
 
 def pattern_counts(hits: DataFrame, patterns: DataFrame, counting: str = OCCURRENCE) -> DataFrame:
@@ -19,14 +27,40 @@ def pattern_counts(hits: DataFrame, patterns: DataFrame, counting: str = OCCURRE
         found = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("count"))
     else:
         # One row for each record and pattern first, which partial aggregation makes on the map side.
-        found = hits.select("pattern", "file", "mate", "rec_no").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("count"))
+        found = hits.select("pattern", *RECORD_KEY).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("count"))
     return patterns.join(found, "pattern", "left").select("pattern", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
+def tally(records: DataFrame, query: PatternList) -> DataFrame:
+    """(pattern, occurrences, records, records_searched, chars, matches, records_hit), a row for each pattern found and one without: one search, one scan.
+
+    What concerns records is counted where their first pattern, or none, is.
+    """
+    rows = matching.tallies(records, query).select("chars", F.size("found").alias("k"), F.expr("aggregate(found, 0L, (s, x) -> s + x.n)").alias("matches"), F.posexplode_outer("found").alias("at", "x"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    return rows.groupBy(F.col("x.pattern").alias("pattern")).agg(
+        F.coalesce(F.sum("x.n"), F.lit(0)).alias("occurrences"), F.count("at").alias("records"), F.count(F.when(first, 1)).alias("records_searched"),
+        F.coalesce(F.sum(F.when(first, F.col("chars"))), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.when(first, F.col("matches"))), F.lit(0)).alias("matches"),
+        F.count(F.when(first & (F.col("k") > 0), 1)).alias("records_hit"),
+    )
+
+
+def summary_of(tallied: DataFrame, patterns_searched: int) -> DataFrame:
+    """One row of a :func:`tally`: patterns searched and found with the percentage, records, characters (bytes), matches and distinct records hit."""
+    def total(name):
+        return F.coalesce(F.sum(name), F.lit(0)).cast("long")
+
+    one = tallied.agg(
+        F.lit(patterns_searched).cast("long").alias("patterns_searched"), F.count("pattern").alias("patterns_found"), total("records_searched").alias("records_searched"),
+        total("chars").alias("characters_searched"), total("matches").alias("matches"), total("records_hit").alias("records_hit"),
+    )
+    return one.withColumn("found_percent", F.format_string("%.2f", F.col("patterns_found") / F.lit(patterns_searched) * 100.0))
+
+
 def search_summary(records: DataFrame, hits: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: patterns searched and found with the percentage, records, characters (bytes), matches and distinct records hit."""
+    """:func:`summary_of` from tables of records, hits and counts that are there already."""
     of_records = records.agg(F.count(F.lit(1)).alias("records_searched"), F.coalesce(F.sum(F.octet_length("seq")), F.lit(0)).cast("long").alias("characters_searched"))
-    by_record = hits.groupBy("file", "mate", "rec_no").agg(F.count(F.lit(1)).alias("n"))
+    by_record = hits.groupBy(*RECORD_KEY).agg(F.count(F.lit(1)).alias("n"))
     of_hits = by_record.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("matches"), F.count(F.lit(1)).alias("records_hit"))
     of_patterns = counts.agg(F.count(F.lit(1)).alias("patterns_searched"), F.coalesce(F.sum((F.col("count") > 0).cast("long")), F.lit(0)).alias("patterns_found"))
     percent = F.format_string("%.2f", F.col("patterns_found") / F.col("patterns_searched") * 100.0)
@@ -34,8 +68,8 @@ def search_summary(records: DataFrame, hits: DataFrame, counts: DataFrame) -> Da
 
 
 def paired_summary(hits: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row: hits and distinct records hit in each file, and extracted records, mates counted each."""
-    by_record = hits.groupBy("mate", "rec_no").agg(F.count(F.lit(1)).alias("n"))
+    """One row: hits and distinct records hit in the files of each mate, and extracted records, mates counted each."""
+    by_record = hits.groupBy(*RECORD_KEY).agg(F.count(F.lit(1)).alias("n"))
 
     def of(mate: int, what: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("mate") == mate, what)), F.lit(0)).cast("long")
@@ -57,7 +91,7 @@ def rate(hit: Column, total: Column, digits: int = 3) -> Column:
 
 def density(hits: DataFrame) -> DataFrame:
     """Hits for each record hit, by mate."""
-    by_record = hits.groupBy("mate", "rec_no").agg(F.count(F.lit(1)).alias("n"))
+    by_record = hits.groupBy(*RECORD_KEY).agg(F.count(F.lit(1)).alias("n"))
     return by_record.groupBy("mate").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("records_hit")).withColumn("density", F.round(F.col("hits") / F.col("records_hit"), 2))
 
 
@@ -70,18 +104,18 @@ def matched_fasta(counts: DataFrame) -> DataFrame:
 
 def multi_hits(hits: DataFrame) -> DataFrame:
     """Records that hold one pattern more than once, with the sorted positions."""
-    same = hits.groupBy("pattern", "file", "mate", "rec_no", "record_id").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list("position")).alias("positions"))
+    same = hits.groupBy("pattern", *RECORD_KEY, "record_id").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list("position")).alias("positions"))
     return same.where("hits > 1")
 
 
 def multi_hit_summary(hits: DataFrame) -> DataFrame:
     """By pattern: records that hold it more than once, their hits, and the most in one record."""
-    per = hits.groupBy("pattern", "file", "mate", "rec_no").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    per = hits.groupBy("pattern", *RECORD_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return per.groupBy("pattern").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("hits"), F.max("n").alias("most"))
 
 
 def matches_per_record(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("file", "mate", "rec_no", "record_id").agg(F.count(F.lit(1)).alias("matches"))
+    return hits.groupBy(*RECORD_KEY, "record_id").agg(F.count(F.lit(1)).alias("matches"))
 
 
 def position_histogram(hits: DataFrame, width: int = 100) -> DataFrame:
@@ -109,12 +143,52 @@ def enumerate_kmers(records: DataFrame, k: int) -> DataFrame:
     return records.select(F.col("rec_no").cast("long").alias("rec_no"), "seq").mapInArrow(work, "rec_no long, position long, kmer string")
 
 
+def _windows(batches, k: int):
+    """Every window of k characters, some thousands at a time."""
+    for batch in batches:
+        for seq in batch.column("seq").to_pylist():
+            for a in range(0, len(seq or "") - k + 1, SLICES):
+                b = min(a + SLICES, len(seq) - k + 1)
+                yield [seq[i : i + k] for i in range(a, b)]
+
+
+def count_kmers(records: DataFrame, k: int) -> DataFrame:
+    """(kmer, count): windows of k characters; counted in the workers first, so that few rows are shuffled."""
+
+    def work(batches):
+        held: Counter = Counter()
+        for some in _windows(batches, k):
+            held.update(some)
+            if len(held) >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["kmer", "count"])
+                held = Counter()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["kmer", "count"])
+
+    return records.select("seq").mapInArrow(work, "kmer string, count long").groupBy("kmer").agg(F.sum("count").alias("count"))
+
+
 def top_kmers(records: DataFrame, k: int, n: int) -> DataFrame:
-    """The n most frequent windows of k characters; counted with partial sums, then a top-n without a full sort."""
-    return enumerate_kmers(records, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "kmer").limit(n)
+    """The n most frequent windows of k characters: partial counts, then a top-n without a full sort."""
+    return count_kmers(records, k).orderBy(F.desc("count"), "kmer").limit(n)
 
 
 def sample_kmers(records: DataFrame, k: int, n: int, seed: int = 42) -> DataFrame:
-    """n distinct windows of k characters, the same for a seed: those with the least digests."""
-    kmers = enumerate_kmers(records, k).select("kmer").distinct()
-    return kmers.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "kmer")), "kmer").limit(n)
+    """n distinct windows of k characters, the same for a seed: those with the least digests, of which each worker sends its own n at most."""
+
+    def work(batches):
+        least: dict[str, str] = {}  # digests by window
+        most = None
+        for some in _windows(batches, k):
+            for w in set(some).difference(least):
+                digest = md5(f"{seed}:{w}".encode()).hexdigest()
+                if most is None or digest <= most:
+                    least[w] = digest
+            if len(least) > 4 * n + 1000:
+                least = dict(sorted(least.items(), key=lambda x: (x[1], x[0]))[:n])
+                most = max(least.values())
+        rows = sorted(least.items(), key=lambda x: (x[1], x[0]))[:n]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.string())], names=["kmer", "digest"])
+
+    kmers = records.select("seq").mapInArrow(work, "kmer string, digest string").distinct()
+    return kmers.orderBy("digest", "kmer").limit(n).select("kmer")

@@ -107,6 +107,11 @@ def hits_by_kmer_join(spark, sf_dir):
     return matching.hits_by_join(_records(spark, sf_dir), _pattern_frame(spark, sf_dir)).select(*_PLAIN)
 
 
+@query(_sql(_PATTERNS, _HITS, then="select rec_no, pattern, position from hits"))
+def hits_by_table_size(spark, sf_dir):
+    return matching.hits_of_table(_records(spark, sf_dir), _pattern_frame(spark, sf_dir)).select(*_PLAIN)
+
+
 @query(_sql(_PATTERNS, _HITS, _COUNTS, then="select pattern, count from counts"))
 def counts_occurrence(spark, sf_dir):
     r = _search(spark, sf_dir)
@@ -172,9 +177,9 @@ def patterns_upper(spark, sf_dir):
 
 @query(_sql(_PATTERNS, then="select count(*) as patterns, max(strlen(pattern))::bigint as longest, count(*) >= 14 or max(strlen(pattern)) > 64 as multi from patterns"))
 def select_algorithm(spark, sf_dir):
-    n, longest = F.count(F.lit(1)), F.max(F.octet_length("pattern")).cast("long")
-    multi = (n >= pats.MANY_PATTERNS) | (longest > pats.LONG_PATTERN)
-    return _pattern_frame(spark, sf_dir).agg(n.alias("patterns"), longest.alias("longest"), multi.alias("multi"))
+    found = pats.prepare([r.pattern for r in _pattern_frame(spark, sf_dir).collect()])
+    one = (len(found), max(map(pats.byte_length, found)), pats.recommends_multi(found))
+    return spark.createDataFrame([one], "patterns long, longest long, multi boolean")
 
 
 # Pairs: the n-th user turn and the n-th assistant turn of a conversation.
@@ -228,21 +233,12 @@ _PAIR_HITS = """hits as (
     )
 )
 def paired_stats(spark, sf_dir):
-    r = _pairs(spark, sf_dir)
-    one = r.hits.groupBy("file", "mate", "rec_no").agg(F.count(F.lit(1)).alias("n"))
-
-    def of(mate, what):
-        return F.coalesce(F.sum(F.when(F.col("mate") == mate, what)), F.lit(0)).cast("long")
-
-    sums = one.agg(of(1, F.col("n")).alias("hits_1"), of(2, F.col("n")).alias("hits_2"), of(1, F.lit(1)).alias("records_hit_1"), of(2, F.lit(1)).alias("records_hit_2"))
-    return sums.crossJoin(r.kept.agg(F.count(F.lit(1)).alias("extracted")))  # one row each
+    return _pairs(spark, sf_dir).paired_summary
 
 
 @query(_sql(_MATES, _PAIR_PATTERNS, _PAIR_HITS, then="select mate::bigint as mate, count(*) as hits, count(distinct (conv_id, rec_no)) as records_hit, round(count(*) / count(distinct (conv_id, rec_no)), 2) as density from hits group by mate"))
 def paired_density(spark, sf_dir):
-    h = _pairs(spark, sf_dir).hits
-    per = h.groupBy("file", "mate", "rec_no").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("mate").cast("long").alias("mate")).agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("records_hit"))
-    return per.withColumn("density", F.round(F.col("hits") / F.col("records_hit"), 2))
+    return stats.density(_pairs(spark, sf_dir).hits).withColumn("mate", F.col("mate").cast("long"))
 
 
 _FOUND = "coalesce((select string_agg(pattern, ',' order by pattern) from patterns where contains(text, pattern)), '')"

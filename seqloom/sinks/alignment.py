@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import sys
+import uuid
 import zlib
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 
 from seqloom import __version__
+from seqloom.session import ship
 from seqloom.sources.alignment import BASES, NUMBERS, OPERATIONS, FormatError
 
 PROGRAM = "seqloom"
@@ -41,6 +46,52 @@ def sam_line(r) -> str:
     return "\t".join([*map(str, cells), *(f"{t.tag}:{t.type}:{t.value}" for t in r.tags)]) + "\n"
 
 
+def _lines(batches):
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield sam_line(Row(**{**r, "tags": [Row(**t) for t in r["tags"]]}))
+
+
+def write_sam_parts(kept: DataFrame, header: list[str], folder: str) -> None:
+    """A folder of ordered parts that the tasks write, and ``_header.sam``: put before the parts it makes one file."""
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in _lines([batch])], pa.string())], names=["line"])
+
+    ship(kept.sparkSession)
+    kept.orderBy("file", "rec_no").mapInArrow(work, "line string").write.mode("errorifexists").text(folder)
+    with open(os.path.join(folder, "_header.sam"), "w", encoding="utf-8", newline="") as f:
+        f.writelines(x + "\n" for x in header)
+
+
+def write_bam_parts(kept: DataFrame, header: list[str], folder: str) -> None:
+    """A folder of ordered parts of whole blocks that the tasks write; in the order of their names they make one file.
+
+    Tasks write under names of their own and report them; only reported parts get their names.
+    """
+    os.makedirs(folder)
+    numbers = {name: i for i, (name, _) in enumerate(references(header))}
+
+    def work(batches):
+        path = os.path.join(folder, f"_{uuid.uuid4().hex}")
+        f = Blocks(path)
+        for batch in batches:
+            for r in batch.to_pylist():
+                f.write(bam_record(Row(**{**r, "tags": [Row(**t) for t in r["tags"]]}), numbers))
+        f.close(last=False)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([path], pa.string())], names=["part", "path"])
+
+    ship(kept.sparkSession)
+    done = kept.orderBy("file", "rec_no").mapInArrow(work, "part int, path string").collect()  # a row for each part
+    f = Blocks(os.path.join(folder, "part-00000"))
+    f.write(_head(header))
+    f.close(last=False)
+    for n, r in enumerate(sorted(done), 1):
+        os.rename(r.path, os.path.join(folder, f"part-{n:05d}"))
+    Blocks(os.path.join(folder, f"part-{len(done) + 1:05d}")).close()
+
+
 def write_sam(kept: DataFrame, header: list[str], out=None) -> None:
     """To a path, or to an open text file; standard output if there is neither."""
     to = open(out, "w", encoding="utf-8", newline="") if isinstance(out, str) else out or sys.stdout
@@ -52,7 +103,9 @@ def write_sam(kept: DataFrame, header: list[str], out=None) -> None:
             to.close()
 
 
-class _Bgzf:
+class Blocks:
+    """A file of compressed blocks; blocks of several such files in a row are one file."""
+
     def __init__(self, path: str):
         self.out, self.held = open(path, "wb"), bytearray()
 
@@ -67,10 +120,11 @@ class _Bgzf:
         packed = z.compress(data) + z.flush()
         self.out.write(b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(data), len(data)))
 
-    def close(self) -> None:
+    def close(self, last: bool = True) -> None:
         if self.held:
             self._block(bytes(self.held))
-        self.out.write(_EOF)
+        if last:
+            self.out.write(_EOF)
         self.out.close()
 
 
@@ -124,19 +178,23 @@ def bam_record(r, refs: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def references(header: list[str]) -> list[tuple[str, int]]:
+    """Names and lengths of the reference sequences."""
+    rows = [dict(x.split(":", 1) for x in line.split("\t")[1:]) for line in header if line.startswith("@SQ")]
+    return [(r["SN"], int(r["LN"])) for r in rows]
+
+
+def _head(header: list[str]) -> bytes:
+    refs, text = references(header), "".join(x + "\n" for x in header).encode()
+    names = b"".join(struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", n) for name, n in refs)
+    return b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)) + names
+
+
 def write_bam(kept: DataFrame, header: list[str], out: str) -> None:
-    refs = []
-    for line in header:
-        if line.startswith("@SQ"):
-            cells = dict(x.split(":", 1) for x in line.split("\t")[1:])
-            refs.append((cells["SN"], int(cells["LN"])))
-    f = _Bgzf(out)
+    f = Blocks(out)
     try:
-        text = "".join(x + "\n" for x in header).encode()
-        f.write(b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)))
-        for name, n in refs:
-            f.write(struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", n))
-        numbers = {name: i for i, (name, _) in enumerate(refs)}
+        f.write(_head(header))
+        numbers = {name: i for i, (name, _) in enumerate(references(header))}
         for r in _rows(kept):
             f.write(bam_record(r, numbers))
     finally:

@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame
 from seqloom.sources.files import add_suffix, uncompressed_type, with_extension
 
 
+def places(df: DataFrame) -> list[str]:
+    """The columns that put records in input order."""
+    return [c for c in ("file_no", "file", "rec_no") if c in df.columns and (c != "file" or "file_no" not in df.columns)]
+
+
 def _raw(df: DataFrame, mate: int | None = None):
     """The records' text in order, a partition of the sorted table at a time on the driver."""
     rows = df if mate is None else df.where(f"mate = {mate}")
-    return (r.raw for r in rows.select("file", "rec_no", "raw").orderBy("file", "rec_no").select("raw").toLocalIterator(prefetchPartitions=True))
+    return (r.raw for r in rows.orderBy(*places(rows)).select("raw").toLocalIterator(prefetchPartitions=True))
 
 
 def output_path(out: str, source: str) -> str:
@@ -48,6 +53,12 @@ def write_stdout(kept: DataFrame, paired: bool = False, to=None) -> None:
             to.write(a + b)
 
 
-def write_parts(kept: DataFrame, folder: str) -> None:
-    """A folder of ordered part files written by the tasks, for outputs beyond one machine."""
-    kept.orderBy("file", "rec_no").selectExpr("rtrim('\n', raw) AS raw").write.mode("errorifexists").text(folder)
+def write_parts(kept: DataFrame, folder: str, paired: bool = False) -> None:
+    """Folders of ordered part files that the tasks write, for outputs beyond one machine; of pairs, one for each mate.
+
+    Parts of both mates are cut at the same places only by chance; one after another they pair up.
+    """
+    for mate in (1, 2) if paired else (None,):
+        rows = kept if mate is None else kept.where(f"mate = {mate}")
+        to = folder if mate is None else f"{folder}_{mate}"
+        rows.orderBy(*places(rows)).selectExpr("rtrim('\n', raw) AS raw").write.mode("errorifexists").text(to)

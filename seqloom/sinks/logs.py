@@ -9,12 +9,15 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from seqloom import __version__
 from seqloom.operators.extract import Result
 from seqloom.operators.matching import in_report_order
 
 STDOUT = "STDOUT"
 PROGRAM = "seqloom"
+# The lines of the text report and the keys of the JSON report below are fixed values of those formats.
 
 
 class LogError(ValueError):
@@ -61,6 +64,15 @@ def _facts(result: Result):
     return ordered, result.summary.first(), result.paired_summary.first()
 
 
+def write_tables(result: Result, folder: str) -> None:
+    """counts.tsv and positions.tsv: folders of tab-separated parts with a header each, written by the tasks."""
+    # Column names of the two tables are fixed values.
+    counts = result.pattern_counts.select(F.col("pattern").alias("Pattern"), F.col("count").alias("Count"))
+    hits = result.hits.select(F.col("pattern").alias("Pattern"), F.col("position").alias("Position"), F.col("file").alias("File"), F.col("record_id").alias("ReadID"))
+    for name, table in (("counts", counts), ("positions", hits)):
+        table.write.mode("errorifexists").options(sep="\t", header=True, quote="").csv(os.path.join(folder, f"{name}.tsv"))
+
+
 def write_text(result: Result, run: Run, path: str) -> None:
     counts, s, pairs = _facts(result)
     n = len(counts)

@@ -3,7 +3,8 @@
 One partition reads a file, compressed or not, so that ``rec_no`` is the record's place in it. With
 ``split_mb`` plain files are cut into byte ranges, each read by a task of its own from the first record
 that begins in it; ``rec_no`` is then the record's byte offset: it still orders records, but does not
-pair mates.
+pair mates. ``file_no`` is the file's place among those of the path, in order of their names: records of
+files of one name in several folders are told apart by it, and the n-th files of two paths are mates.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from seqloom.session import ship
 from seqloom.sources.files import is_compressed, listed, opened
 
-SCHEMA = "file string, mate int, rec_no bigint, id string, seq string, qual string, raw string"
+SCHEMA = "file string, mate int, rec_no bigint, id string, seq string, qual string, raw string, file_no int"
 
 
 class FormatError(ValueError):
@@ -30,6 +31,7 @@ class Part(InputPartition):
     path: str
     start: int = 0
     end: int = -1
+    number: int = 0
 
 
 def _line(x: bytes) -> bytes:
@@ -125,17 +127,18 @@ class FastxReader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for p in listed(self.path):
+        for n, p in enumerate(listed(self.path)):
             size = os.path.getsize(p)
             if self.split and size > self.split and not is_compressed(p):
-                out += [Part(p, a, min(a + self.split, size)) for a in range(0, size, self.split)]
+                out += [Part(p, a, min(a + self.split, size), n) for a in range(0, size, self.split)]
             else:
-                out.append(Part(p))
+                out.append(Part(p, number=n))
         return out
 
     def read(self, partition):
         with opened(partition.path) as f:
-            yield from records(f, partition.path, self.mate, partition.start, partition.end, self.raw)
+            for r in records(f, partition.path, self.mate, partition.start, partition.end, self.raw):
+                yield (*r, partition.number)
 
 
 class FastxSource(DataSource):

@@ -81,6 +81,33 @@ def test_sam_and_bam_round_trip(spark, put, tmp_path):
         A.read_alignments(spark, path, "cram")
 
 
+def test_parts_make_one_file(spark, put, tmp_path):
+    many = SAM + "".join(f"q{i}\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\t*\tXA:Z:{i}\n" for i in range(200))
+    path = put("many.sam", many)
+    df, head = A.read_alignments(spark, path, "sam").repartition(3), A.header(path, "sam")
+    AS.write_sam_parts(df, head, str(tmp_path / "s"))
+    parts = sorted((tmp_path / "s").glob("part-*"))
+    assert "".join(p.read_text() for p in [tmp_path / "s" / "_header.sam", *parts]) == many
+    AS.write_bam_parts(df, head, str(tmp_path / "b"))
+    parts = sorted((tmp_path / "b").glob("*"))
+    assert len(parts) >= 3 and all(p.name.startswith("part-") for p in parts)
+    (tmp_path / "one.bam").write_bytes(b"".join(p.read_bytes() for p in parts))
+    back = A.read_alignments(spark, str(tmp_path / "one.bam"), "bam")
+    AS.write_sam(back, A.header(str(tmp_path / "one.bam"), "bam"), str(tmp_path / "back.sam"))
+    assert (tmp_path / "back.sam").read_text() == many
+
+
+def test_tables_and_parts_of_a_command(spark, put, tmp_path):
+    fasta = put("in.fasta", FASTA)
+    assert cli.main(["extract", "-i", fasta, "-r", "-s", "ACG", "-o", str(tmp_path / "out"), "--parts", "--tables", str(tmp_path / "t")]) == 0
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))) == ">seq1 one\nACGTACGT\n>seq3\nGGACGTCC\n"
+    lines = {n: sorted({x for p in (tmp_path / "t" / f"{n}.tsv").glob("part-*") for x in p.read_text().splitlines()}) for n in ("counts", "positions")}
+    assert lines["counts"] == ["ACG\t2", "CGT\t2", "Pattern\tCount"]
+    assert "Pattern\tPosition\tFile\tReadID" in lines["positions"] and "ACG\t4\tin.fasta\tseq1 one" in lines["positions"] and len(lines["positions"]) == 7
+    with pytest.raises(SystemExit):
+        cli.parse(["extract", "-i", fasta, "-s", "A", "--parts"])
+
+
 def test_paths(tmp_path):
     assert files.uncompressed_type("x/a.fastq.gz") == "fastq" and files.uncompressed_type("a.b.fa") == "fa"
     assert files.uncompressed_type("a.gz") == "gz"

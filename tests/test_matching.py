@@ -1,3 +1,5 @@
+import hashlib
+from collections import Counter
 import random
 
 import pytest
@@ -98,6 +100,64 @@ def test_pairs(spark):
             zip_mates(a, b)
 
 
+def test_several_pairs_of_files(spark, tmp_path):
+    from seqloom.sources.fastx import read_fastx
+
+    texts = {"a1": "@r0\nACGT\n+\nIIII\n@r1\nTTTT\n+\nIIII\n", "a2": "@r0\nCCCC\n+\nIIII\n@r1\nCCCC\n+\nIIII\n", "b1": "@r0\nTTTT\n+\nIIII\n@r1\nGATTACA\n+\nIIIIIII\n", "b2": "@r0\nCCCC\n+\nIIII\n@r1\nGATT\n+\nIIII\n"}
+    for name, text in texts.items():
+        (tmp_path / name[1]).mkdir(exist_ok=True)
+        (tmp_path / name[1] / f"{name}.fq").write_text(text)
+    both = zip_mates(read_fastx(spark, str(tmp_path / "1")), read_fastx(spark, str(tmp_path / "2"), 2))
+    q = P.plan(["GATTACA", "CCCC"])
+    r = extract_pairs(both, P.plan(["GATTACA"]))
+    assert {(x.file, x.rec_no) for x in r.kept.collect()} == {("b1.fq", 1), ("b2.fq", 1)}
+    assert {(x.file, x.rec_no) for x in extract_pairs(both, P.plan(["GATTACA"]), invert=True).kept.collect()} == {(f, i) for f in ("a1.fq", "a2.fq", "b1.fq", "b2.fq") for i in (0, 1)} - {("b1.fq", 1), ("b2.fq", 1)}
+    r = extract_pairs(both, q)
+    s = r.paired_summary.first()
+    assert (s.hits_1, s.hits_2, s.records_hit_1, s.records_hit_2, s.extracted) == (1, 3, 1, 3, 8)
+    assert {(x.mate, x.hits, x.records_hit) for x in S.density(r.hits).collect()} == {(1, 1, 1), (2, 3, 3)}
+    (tmp_path / "2" / "b2.fq").write_text(texts["b2"] + texts["b2"])
+    (tmp_path / "2" / "a2.fq").unlink()
+    with pytest.raises(PairError):
+        zip_mates(read_fastx(spark, str(tmp_path / "1")), read_fastx(spark, str(tmp_path / "2"), 2))
+
+
+def test_files_of_one_name_are_told_apart(spark, tmp_path):
+    from seqloom.sources.fastx import read_fastx
+
+    for folder in "xy":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s.fa").write_text(">r\nAACAA\n")
+    r = extract(read_fastx(spark, f"{tmp_path}/*/s.fa"), P.plan(["AA", "C"]))
+    assert r.summary.first().records_hit == 2 and {(x["pattern"], x["count"]) for x in r.pattern_counts.collect()} == {("AA", 2), ("C", 2)}
+
+
+def test_one_search_gives_the_summary(spark):
+    df = table(spark, ["AAAAC", "CAA", "TT", None, ""])
+    for q in (P.plan(["AA", "C", "G"]), P.plan(["zz"])):
+        h = M.hits(df, q)
+        a, b = extract(df, q).summary.first(), S.search_summary(df, h, S.pattern_counts(h, q.frame(spark))).first()
+        assert a.asDict() == b.asDict()
+    assert extract(df.limit(0), P.plan(["A"])).summary.first().records_searched == 0
+
+
+def test_pattern_tables_by_size(spark):
+    df, patterns = table(spark, ["AAAAC", "CAA", None]), spark.createDataFrame([("AA",), ("C",), ("",), ("AA",)], "pattern string")
+    want = {(0, "AA", 0), (0, "AA", 1), (0, "AA", 2), (0, "C", 4), (1, "C", 0), (1, "AA", 1)}
+    assert got(M.hits_of_table(df, patterns)) == want == got(M.hits_of_table(df, patterns, 1))
+    assert M.hits_of_table(df, patterns.limit(0)).count() == 0
+
+
+def test_kmers_counted_in_workers(spark, monkeypatch):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choice("ACé") for _ in range(rng.randrange(0, 90))) for _ in range(40)] + [None]
+    every = [s[i : i + 3] for s in seqs if s for i in range(len(s) - 2)]
+    df = table(spark, seqs)
+    assert {(r["kmer"], r["count"]) for r in S.count_kmers(df, 3).collect()} == set(Counter(every).items())
+    least = sorted(set(every), key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))[:7]
+    assert [r.kmer for r in S.sample_kmers(df, 3, 7).collect()] == least
+
+
 ALIGNED = "rec_no long, id string, qname string, seq string, tags array<struct<tag:string,type:string,value:string>>"
 
 
