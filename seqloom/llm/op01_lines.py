@@ -129,7 +129,7 @@ def later_copies(found: DataFrame) -> DataFrame:
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The table with the later copies of repeated runs taken out of its texts, and ``n_deleted`` lines.
+    """The table with the later copies of repeated runs taken out of its texts, and ``n_deleted`` lines (``n_deleted_`` where the table has such a column).
 
     The stretches of a document, fewer than its lines, are gathered with it; no group is larger than a document.
     """
@@ -138,6 +138,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
     mine = "__cut"
     while {mine, f"{mine}_doc"} & set(df.columns):
         mine += "_"
+    count = "n_deleted"
+    while count in df.columns:
+        count += "_"
     joined = df.join(cut.select(F.col("doc").alias(f"{mine}_doc"), F.col("cut").alias(mine)), F.col(id_col) == F.col(f"{mine}_doc"), "left")
     text, spans = F.col(text_col), F.col(mine)
 
@@ -151,4 +154,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
     gone = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["at"] + 1)
     clean = F.when(spans.isNotNull(), rest).otherwise(text)
     n_deleted = F.when(spans.isNotNull(), gone).otherwise(F.lit(0).cast("long"))
-    return joined.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns), n_deleted.alias("n_deleted"))
+    return joined.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns), n_deleted.alias(count))

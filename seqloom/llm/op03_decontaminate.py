@@ -267,5 +267,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents in which no item is found."""
-    bad = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    mine = "__bad"
+    while mine in docs.columns:
+        mine += "_"
+    bad = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias(mine)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`") == F.col(mine), "left_anti")

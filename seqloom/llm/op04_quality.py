@@ -5,7 +5,9 @@ each rule. A policy is a versioned mask over those bits, so a new policy, or the
 rule out, needs no second look at the texts.
 
 A null text counts as empty: it has no words and fails MIN_WORDS. Repeated rows get a row each, an
-empty table an empty ledger. Only the named columns are read, so others may have any name.
+empty table an empty ledger. Only the named columns are read, so others may have any name; carried
+columns called measures or fail_bits are returned as measures_ and fail_bits_. A very long text is measured
+whole, in time proportional to its length but for a sort of its windows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from seqloom.llm.common import small_batches, text_of
 
@@ -118,12 +121,12 @@ def ledger(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc
     """The carried columns, a struct ``measures`` and ``fail_bits``, one row per document.
 
     One pass without a shuffle. The rules are SQL over the measurements, so a rule can be added
-    without touching the measuring code. Carried columns must not be named measures or fail_bits.
+    without touching the measuring code.
     """
     small_batches(df.sparkSession)
-    source = df.select(F.struct(*carry).alias("row"), text_of(text_col).cast("binary").alias("text"))
-    fields = ", ".join(f"{m}: bigint" for m in MEASURES)
-    schema = f"row {source.schema['row'].dataType.simpleString()}, measures struct<{fields}>"
+    own = [c + "_" * (c in ("measures", "fail_bits")) for c in carry]
+    source = df.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, own))).alias("row"), text_of(text_col).cast("binary").alias("text"))
+    schema = StructType([source.schema["row"], StructField("measures", StructType([StructField(m, LongType()) for m in MEASURES]))])
 
     def work(batches):
         for batch in batches:

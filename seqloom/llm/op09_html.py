@@ -21,6 +21,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seqloom.llm.common import small_batches, text_of
 from seqloom.llm.htmltext import extract
@@ -29,12 +30,12 @@ from seqloom.llm.htmltext import extract
 def main_text(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The carried columns, text and n_chars (its code points); one pass without a shuffle."""
     small_batches(pages.sparkSession)
-    source = pages.select(F.struct(*carry).alias("row"), text_of(html_col).alias("html"))
+    source = pages.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), text_of(html_col).alias("html"))
 
     def work(batches):
         for batch in batches:
             texts = [extract(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    found = source.mapInArrow(work, f"row {source.schema['row'].dataType.simpleString()}, text string")
+    found = source.mapInArrow(work, StructType([source.schema["row"], StructField("text", StringType())]))
     return found.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))
