@@ -39,6 +39,8 @@ class Kind:
 
 
 THRESHOLD = 0.5
+#: Different characters that a key or an unquoted secret has at least.
+DIFFERENT = 6
 
 KINDS: tuple[Kind, ...] = (
     # A local part can begin after a character outside its class or where the last match ended.
@@ -47,7 +49,10 @@ KINDS: tuple[Kind, ...] = (
     Kind("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+", (), 0.8, 0.2, r"card|visa|master|credit|karte|carte|tarjeta", True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", ("+",), 0.7, 0.3, r"phone|tel|call|mobile|fax|anruf", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", (), 0.7, 0.3, r"iban|konto|account|compte|cuenta"),
-    Kind("secret", r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"'][^\"'\s]{8,}+[\"']", ("=", ":"), 0.6, 0.3, r"auth|login|bearer|export"),
+    Kind("secret", r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|(?:api|access|secret)[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}(?:[\"'][^\"'\s]{8,}+[\"']|[^\"'\s,;]{8,}+)", ("=", ":"), 0.6, 0.3, r"auth|login|bearer|export"),
+    # Tokens that providers mark by how they begin, and private keys in text form.
+    Kind("key", r"(?<![A-Za-z0-9_-])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_-])", ("AKIA", "ASIA", "gh", "xox", "sk-", "AIza", "eyJ"), 0.8, 0.2, r"key|token|secret|bearer"),
+    Kind("pem", r"-----BEGIN (?:[A-Z]{1,20} ){0,3}?PRIVATE KEY-----(?:[^-]*+-----END (?:[A-Z]{1,20} ){0,3}?PRIVATE KEY-----)?+", ("PRIVATE KEY-----",), 0.9, 0.1, r"key|ssh|cert"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ("-",), 0.3, 0.5, r"ssn|social security|sozialversicherung"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -87,6 +92,10 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(characters, F.lit(0), step) == 1
 
 
+def _different(value: Column) -> Column:
+    return F.size(F.array_distinct(F.split(F.substring(value, 1, 512), "")))
+
+
 def _confirmed(kind: str, value: Column) -> Column:
     """The checksum or range that a proposed span must satisfy."""
     if kind == "ip":
@@ -98,6 +107,12 @@ def _confirmed(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
         return _mod97(value)
+    if kind == "key":
+        return _different(value) >= DIFFERENT
+    if kind == "secret":
+        # What is quoted is assigned; what is not must be unlike a word: letters and digits, and not few of them.
+        said = F.regexp_replace(value, r"^[^=:]*+[=:] *+", "")
+        return F.regexp_like(said, F.lit("^[\"']")) | (F.regexp_like(said, F.lit("[A-Za-z]")) & F.regexp_like(said, F.lit("[0-9]")) & (_different(said) >= DIFFERENT))
     return F.lit(True)
 
 
