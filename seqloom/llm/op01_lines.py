@@ -45,9 +45,10 @@ def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, at, end, first_doc, first_at, first_end): shortest runs of min_words words that stand earlier too.
+    """(doc, p, n, at, end, first_doc, first_p, first_at, first_end): shortest runs of min_words words that stand earlier too.
 
-    at and end are a run's first and last line; first_doc, first_at and first_end are where it stands first.
+    p and n are a run's first line and length among the lines with a word, at and end its first and last
+    among all; first_doc, first_p, first_at and first_end are where it stands first.
     """
     spark, home = df.sparkSession, shared_dir(df.sparkSession)
     source = lines(df, id_col, text_col)
@@ -87,7 +88,7 @@ def runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_word
     return spark.read.schema(_RUN).parquet(f"{home}/runs")
 
 
-_RUN = "doc long, at int, end int, first_doc long, first_at int, first_end int"
+_RUN = "doc long, p int, n int, at int, end int, first_doc long, first_p int, first_at int, first_end int"
 
 
 def _doubled(rank: DataFrame, half: int, home: str) -> DataFrame:
@@ -112,11 +113,29 @@ def _repeated(wanted: DataFrame, rank: DataFrame, width: int, home: str) -> Data
     key = ["n", "d", "q"] + ["d2", "q2"] * (width > 1)
     interval = named.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "p", "at", "end")).alias("first")).where("copies > 1")
     return named.join(stored(interval, home.format("interval")), key).where("first.doc <> doc or first.p <> p").select(
-        "doc", F.col("at").cast("int").alias("at"), F.col("end").cast("int").alias("end"),
-        F.col("first.doc").alias("first_doc"), F.col("first.at").cast("int").alias("first_at"), F.col("first.end").cast("int").alias("first_end"),
+        "doc", F.col("p").cast("int").alias("p"), F.col("n").cast("int").alias("n"), F.col("at").cast("int").alias("at"), F.col("end").cast("int").alias("end"),
+        F.col("first.doc").alias("first_doc"), F.col("first.p").cast("int").alias("first_p"), F.col("first.at").cast("int").alias("first_at"), F.col("first.end").cast("int").alias("first_end"),
     )
 
 
+def maximal_runs(found: DataFrame) -> DataFrame:
+    """The runs of :func:`runs` on one diagonal with their first copies, joined where they meet: maximal common runs.
+
+    The same columns; n is the length of the common prefix, in lines with a word, of the suffixes that begin
+    at p and at first_p. A diagonal's runs, no more than a document's lines, come together in one task.
+    """
+    key = ["doc", "first_doc", F.col("p") - F.col("first_p")]
+    order = Window.partitionBy(*key).orderBy("p", "n")
+    before = F.max(F.col("p") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((before < F.col("p")).cast("int"), F.lit(1))
+    numbered = found.distinct().withColumn("opens", opens).withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy(*key[:2], (F.col("p") - F.col("first_p")).alias("diagonal"), "part").agg(
+        F.min("p").alias("p"), (F.max(F.col("p") + F.col("n")) - F.min("p")).alias("n"), F.min("at").alias("at"), F.max("end").alias("end"),
+        F.min("first_p").alias("first_p"), F.min("first_at").alias("first_at"), F.max("first_end").alias("first_end"),
+    )
+    return joined.select(*(c.split()[0] for c in _RUN.split(", ")))
+
+
 def later_copies(found: DataFrame) -> DataFrame:
     """(doc, at, end): the maximal stretches of lines that :func:`runs` makes later copies, merged per document."""
     at = F.when((F.col("first_doc") == F.col("doc")) & (F.col("first_end") >= F.col("at")), F.col("first_end") + 1).otherwise(F.col("at"))

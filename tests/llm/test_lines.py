@@ -50,6 +50,19 @@ def test_brute_force(spark):
         assert sum(n for _, n in got.values()) > 0
 
 
+def test_maximal_runs(spark):
+    a = [f"line number {i} of the text" for i in range(40)]
+    docs = [(1, "\n".join(a)), (2, "\n".join(["other"] + a[5:30] + [""] + a[30:35] + ["end"])), (3, "\n".join(a[2:20] + ["x y"] + a[20:40])), (4, "one line")]
+    found = L.runs(spark.createDataFrame(docs, "doc_id long, text string"), min_words=50)
+    got = {tuple(r) for r in L.maximal_runs(found).collect()}
+    assert got == {(2, 1, 30, 1, 31, 1, 5, 5, 34), (3, 0, 18, 0, 17, 1, 2, 2, 19), (3, 19, 20, 19, 38, 1, 20, 20, 39)}
+    # The common prefix of the two suffixes is no longer and cannot begin earlier.
+    lines = {d: [x for x in t.split("\n") if x.strip()] for d, t in docs}
+    for doc, p, n, _, _, first, q, _, _ in got:
+        x, y = lines[doc], lines[first]
+        assert x[p : p + n] == y[q : q + n] and (x[p + n : p + n + 1] or ["end of one"]) != (y[q + n : q + n + 1] or ["end of the other"]) and (not p or not q or x[p - 1] != y[q - 1])
+
+
 def test_long_runs_of_short_lines(spark):
     a = "\n".join(f"line {i}" for i in range(60))
     docs = [(1, a), (2, "intro\n" + a.replace("\n", "\n\n") + "\nend"), (3, "\n".join(a.split("\n")[10:30])), (4, "loop x\n" * 100)]
