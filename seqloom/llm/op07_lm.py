@@ -295,25 +295,22 @@ class _Files:
                 self.open.popitem(last=False)
             self.open[name] = self._map(f"{self.home}/model/{name}")
         self.open.move_to_end(name)
-        raw, table = self.open[name]
-        if array not in table:
-            return None
-        bits, longest, *places = table[array]
-        return bits, longest, [raw[a : a + np.dtype(t).itemsize * n].view(t) for t, a, n in places]
+        return self.open[name].get(array)
 
     @staticmethod
     def _map(uri: str):
         path = local_path(uri)
         try:
             if path:
-                raw = np.memmap(path, np.uint8, "r")
+                raw = np.asarray(np.memmap(path, np.uint8, "r"))
             else:
                 with open_shared(uri, "rb") as f:
                     raw = np.frombuffer(f.read(), np.uint8)
         except FileNotFoundError:  # no n-gram was dealt to it
-            return np.empty(0, np.uint8), {}
+            return {}
         size = int.from_bytes(raw[-8:].tobytes(), "little")
-        return raw, json.loads(raw[-8 - size : -8].tobytes())
+        table = json.loads(raw[-8 - size : -8].tobytes())
+        return {name: (bits, longest, [raw[a : a + np.dtype(t).itemsize * n].view(t) for t, a, n in places]) for name, (bits, longest, *places) in table.items()}
 
     def find(self, name: str, array: str, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Whether each hash is in an array, and its numbers there, zero where it is not."""
@@ -323,16 +320,18 @@ class _Files:
         bits, longest, (first, rest, *values) = found
         bucket = (h >> _U(63 - bits) >> _U(1)).astype(np.int64)
         want = (h >> _U(32 - bits)).astype(np.uint32)
-        lo, hi = first[bucket].astype(np.int64), first[bucket + 1].astype(np.int64)
-        end, last = hi.copy(), len(rest) - 1
-        for _ in range(longest.bit_length()):
-            mid = (lo + hi) >> 1
-            less = (rest[np.minimum(mid, last)] < want) & (lo < hi)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(less, hi, mid)
-        at = np.minimum(lo, last)
-        hit = (lo < end) & (rest[at] == want) if last >= 0 else np.zeros(len(h), bool)
-        return hit, [np.where(hit, v[at], 0).astype(np.int64) for v in values] if last >= 0 else []
+        if not len(rest):
+            return np.zeros(len(h), bool), []
+        at, end = first.take(bucket).astype(np.int64), first.take(bucket + 1).astype(np.int64)
+        # How many keys of the bucket are less, bit by bit.
+        for bit in reversed(range(longest.bit_length())):
+            probe = at + (1 << bit)
+            less = rest.take(probe - 1, mode="clip") < want
+            less &= probe <= end
+            np.add(at, 1 << bit, out=at, where=less)
+        hit = rest.take(at, mode="clip") == want
+        hit &= at < end
+        return hit, [np.where(hit, v.take(at, mode="clip"), 0).astype(np.int64) for v in values]
 
 
 def _put_counts(file: _File, name: str, keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> None:
@@ -651,11 +650,11 @@ class Model:
     def _counts(self, file: str, name: str, h: np.ndarray, shard: np.ndarray, out: np.ndarray, where: np.ndarray) -> None:
         for s, one in _split(shard):
             at, slot = f"{file}-{s // FILE}", s % FILE
-            hit, values = self.files.find(at, f"{slot}-{name}-more", h[one])
-            if values:
-                out[where[one[hit]]] = values[0][hit]
-            rest = one[~hit]
-            out[where[rest[self.files.find(at, f"{slot}-{name}-once", h[rest])[0]]]] = 1
+            # Where most are first: pairs of a text are frequent, trigrams are not.
+            for kind in ("more", "once") if name == "pairs" else ("once", "more"):
+                hit, values = self.files.find(at, f"{slot}-{name}-{kind}", h[one])
+                out[where[one[hit]]] = values[0][hit] if values else 1
+                one = one[~hit]
 
     def pairs(self, v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
         """The adjusted count of each pair."""
