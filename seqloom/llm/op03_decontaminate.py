@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import small_batches, text_of
+from seqloom.llm.common import bitmap, in_bitmap, shared_dir, small_batches, stored, text_of
 
 WINDOW = 5
 #: Tokens of a window with placeholders that must be words.
@@ -49,7 +49,8 @@ CACHE = 400_000
 
 # Words for numbers, and units that count as such after a number.
 NUMBER_WORDS = frozenset(
-    "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 )
 UNITS = frozenset(
     "% km m cm mm mile miles foot feet ft inch inches yard yards kg g mg lb lbs pound pounds oz ounce ounces l ml litre litres liter liters"
@@ -110,7 +111,7 @@ class Canon:
             self.stop[i] = bool(_STOP.search(text))
             if not bare:
                 self.kind[i] = NOTHING
-            elif low in NUMBER_WORDS or low[0].isdigit() and _NUMBER.fullmatch(low):
+            elif low in NUMBER_WORDS or low[0].isdigit() and _NUMBER.fullmatch(low) or "-" in low and all(x in NUMBER_WORDS for x in low.split("-")):
                 self.kind[i] = NUMBER
             else:
                 self.kind[i] = NAME if len(bare) > 1 and bare[0].isupper() and not bare.isupper() else LITERAL
@@ -207,18 +208,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bitmap(known: DataFrame) -> np.ndarray:
-    """The bitmap of the benchmark's windows; at most 2^BITMAP_BITS prefixes pass through the driver, in batches."""
-    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in known.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("x")).distinct().toLocalIterator():
-        bits[row.x >> 3] |= 1 << (row.x & 7)
-    return bits
-
-
 def hits(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, reading, h, pos, slots): windows of the documents that may be in the benchmark."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(known))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(known, BITMAP_BITS))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
 
     def work(batches):
@@ -228,8 +221,7 @@ def hits(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 for reading, raw, cuts, kinds, hashes in canon.readings(text):
                     h, ok = windows(kinds, hashes)
-                    x = h >> np.uint64(64 - BITMAP_BITS)
-                    ok &= (bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    ok &= in_bitmap(bits, h)
                     out += [(doc, reading, _signed(int(h[i])), i, _slots(raw, cuts, kinds, i, WINDOW)) for i in np.flatnonzero(ok).tolist()]
             if out:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=_HIT_ARROW.names), schema=_HIT_ARROW, preserve_index=False)
@@ -244,7 +236,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item on one diagonal of two readings, so a passage that much of the corpus holds makes no large
     group, and then one document with the items of one template.
     """
-    known = benchmark_windows(items)
+    known = stored(benchmark_windows(items), f"{shared_dir(items.sparkSession)}/windows")
     found = hits(docs, known, id_col, text_col).withColumnsRenamed({"slots": "own", "pos": "at", "reading": "read"})
     pairs = found.join(known, "h").withColumn("bound", F.filter(F.arrays_zip("slots", "own"), lambda z: z["slots"].isNotNull()))
     pairs = pairs.withColumn("diagonal", F.col("at") - F.col("pos"))

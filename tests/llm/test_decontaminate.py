@@ -1,4 +1,5 @@
 import random
+import re
 
 from seqloom.llm import op03_decontaminate as D
 
@@ -74,6 +75,86 @@ def test_brute_force_without_slots(spark):
     assert got == want and want
 
 
+def slow_readings(text):
+    """(kinds, tokens) of each reading of a text: W words, S slots, N with names that begin sentences."""
+    raw = [(t, re.sub(r"^[\W_]+|[\W_]+$", "", t) if t != "%" else t) for t in (text or "").split()]
+    rows, first = [], True
+    for t, bare in raw:
+        low = bare.lower()
+        number = low in D.NUMBER_WORDS or bool(re.fullmatch(r"[0-9][0-9.,:/]*[a-z%]{0,3}", low)) or ("-" in low and all(x in D.NUMBER_WORDS for x in low.split("-")))
+        kind = "n" if number else "p" if len(bare) > 1 and bare[0].isupper() and not bare.isupper() else "w"
+        if bare:
+            rows.append((low, kind, first, not t.endswith(bare)))
+        first = bool(re.search(r"[.!?:][\"')\]»”]*$", t))
+    out = [("W", [("w", low, low) for low, *_ in rows])]
+    for reading in "SN":
+        kinds = ["w" if k == "p" and begins and reading == "S" else k for _, k, begins, _ in rows]
+        kinds = ["u" if k == "w" and i and kinds[i - 1] == "n" and rows[i][0] in D.UNITS else k for i, k in enumerate(kinds)]
+        merged = []
+        for i, k in enumerate(kinds):
+            if i and k in "np" and k == kinds[i - 1] and not rows[i - 1][3]:
+                merged[-1][2] += " " + rows[i][0]
+            else:
+                merged.append([k, rows[i][0] if k == "w" else k, rows[i][0]])
+        if reading == "S" or any(k == "p" and b for _, k, b, _ in rows):
+            out.append(("S", [tuple(m) for m in merged]))
+    return out
+
+
+def slow(docs, rows):
+    """(doc, item) pairs: every reading of a text against every reading of an item, on every diagonal."""
+    out = set()
+    for d, text in docs:
+        for i, item in rows:
+            for kind, x in slow_readings(text):
+                for other, y in slow_readings(item):
+                    for shift in range(-len(y), len(x)) if kind == other else ():
+                        places, bound = set(), set()
+                        for k in range(len(y) - 4):
+                            a = k + shift
+                            if a < 0 or a + 5 > len(x):
+                                continue
+                            mine, its = x[a : a + 5], y[k : k + 5]
+                            if [m[:2] for m in mine] == [m[:2] for m in its] and (kind == "W" or sum(m[0] == "w" for m in its) >= 3):
+                                places |= set(range(k, k + 5))
+                                bound |= {(m[0], p[2], m[2]) for m, p in zip(mine, its) if m[0] != "w"}
+                        one_way = len({b[:2] for b in bound}) == len(bound)
+                        if places and one_way and len(places) >= min(13, -(-len(y) * 4 // 5)):
+                            out.add((d, i))
+    return out
+
+
+def test_brute_force_with_slots(spark):
+    rng = random.Random(12)
+    names, numbers = ["Tom", "Anna", "Mary Ann", "Bob", "Carl Smith"], ["3", "12", "1 200", "twenty-four", "seven", "1,200", "5"]
+    shapes = [
+        "{a} has {x} apples and gives {y} apples to {b} before {a} walks {z} km to the market with the rest",
+        "{a} has {x} pens. {b} buys {y} more. How many pens do {a} and {b} have now together?",
+        "a box holds {x} red pens and {y} blue pens on the wide shelf near the door of the long room",
+        "the old man walked along the river until it was dark and nobody had seen where he went that day",
+    ]
+
+    def made(shape, wrong=False):
+        a, b = rng.sample(names, 2)
+        text = shape.format(a=a, b=b, x=rng.choice(numbers), y=rng.choice(numbers), z=rng.choice(numbers))
+        return text.replace(a, "Zoe", 1) if wrong else text
+
+    rows = [(i, made(shapes[i % 4])) for i in range(8)]
+    docs = [f"{prose(rng, rng.randrange(0, 12))} {made(rng.choice(shapes), rng.random() < 0.3)} {prose(rng, rng.randrange(0, 12))}" for _ in range(50)]
+    docs += [t for _, t in rows]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items(spark, rows)).collect()}
+    every = slow(list(enumerate(docs)), rows)
+    # Of the items of one template, those that a document holds word for word are named, else the smallest.
+    assert {d for d, _ in got} == {d for d, _ in every} and got <= every and len(got) >= 30
+    assert all((len(docs) - len(rows) + k, min(j for j, u in rows if u == t)) in got for k, (_, t) in enumerate(rows))
+
+
+def test_numbers_of_several_forms(spark):
+    text = "Tom has {} apples in the garden and {} pears in the house by the road"
+    rows = [(1, text.format(12, 5))]
+    assert pairs_of(spark, rows, [text.format(*x) for x in ((4, 4), ("twenty-four", "1 200"), ("thirteen", "ninety"), ("1,200", "3.5"))]) == {(i, 1, True) for i in range(4)}
+
+
 def test_edges(spark):
     docs = documents(spark, extra=True)
     assert table(D.contaminated(docs, items(spark))) == []
