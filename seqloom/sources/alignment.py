@@ -1,4 +1,9 @@
-"""SAM and BAM as Spark data sources; one partition reads a file."""
+"""SAM and BAM as Spark data sources.
+
+One partition reads a file, so that ``rec_no`` is the record's place in it. With ``split_mb`` plain SAM
+files are cut into byte ranges, each read by a task of its own from the first line that begins in it;
+``rec_no`` is then the line's byte offset, which orders records as well.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqloom.session import ship
-from seqloom.sources.files import listed, opened
+from seqloom.sources.files import is_compressed, listed, opened
 
 SCHEMA = (
     "file string, rec_no bigint, id string, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int,"
@@ -30,6 +35,8 @@ class FormatError(ValueError):
 @dataclass
 class Part(InputPartition):
     path: str
+    start: int = 0
+    end: int = -1
 
 
 def sam_header(path: str) -> list[str]:
@@ -49,19 +56,34 @@ def parse_tag(text: str) -> tuple[str, str, str]:
     return parts[0], parts[1], parts[2]
 
 
-def sam_records(path: str) -> Iterator[tuple]:
-    name, no = os.path.basename(path), 0
+def _lines(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, line) of lines that begin at or behind ``start`` and before ``end``."""
+    at = start
+    if start:
+        f.seek(start - 1)
+        at += len(f.readline()) - 1
+    while end < 0 or at < end:
+        line = f.readline()
+        if not line:
+            return
+        yield at, line
+        at += len(line)
+
+
+def sam_records(path: str, start: int = 0, end: int = -1) -> Iterator[tuple]:
+    name, place, head = os.path.basename(path), 0, True
     with opened(path) as f:
-        for line in f:
-            if line[:1] == b"@" and no == 0:
+        for at, line in _lines(f, start, end):
+            if line[:1] == b"@" and head:  # the header, which a range may begin in; no record's name begins so
                 continue
+            no, head = at if end >= 0 else place, False
             x = line.decode("utf-8", "replace").rstrip("\r\n").split("\t")
             if x == [""]:
                 continue
             if len(x) < 11:
                 raise FormatError(f"{name}: record {no + 1} has {len(x)} columns")
             yield (name, no, x[0], x[0], int(x[1]), x[2], int(x[3]), int(x[4]), x[5], x[6], int(x[7]), int(x[8]), "" if x[9] == "*" else x[9], x[10], [parse_tag(t) for t in x[11:]])
-            no += 1
+            place += 1
 
 
 def _exactly(f, n: int) -> bytes:
@@ -116,7 +138,7 @@ def _tags(raw: bytes) -> list[tuple[str, str, str]]:
     return out
 
 
-def bam_records(path: str) -> Iterator[tuple]:
+def bam_records(path: str, start: int = 0, end: int = -1) -> Iterator[tuple]:
     name, no = os.path.basename(path), 0
     with opened(path) as f:  # blocks of a BAM file are gzip members
         _, refs = bam_start(f)
@@ -146,14 +168,21 @@ def bam_records(path: str) -> Iterator[tuple]:
 class SamReader(DataSourceReader):
     records = staticmethod(sam_records)
 
-    def __init__(self, path):
-        self.path = path
+    def __init__(self, path, split_mb: str = "0"):
+        self.path, self.split = path, int(float(split_mb) * (1 << 20))
 
     def partitions(self):
-        return [Part(p) for p in listed(self.path)]
+        out = []
+        for p in listed(self.path):
+            size = os.path.getsize(p)
+            if self.split and size > self.split and not is_compressed(p):
+                out += [Part(p, a, min(a + self.split, size)) for a in range(0, size, self.split)]
+            else:
+                out.append(Part(p))
+        return out
 
     def read(self, partition):
-        yield from self.records(partition.path)
+        yield from self.records(partition.path, partition.start, partition.end)
 
 
 class BamReader(SamReader):
@@ -169,7 +198,7 @@ class SamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return SamReader(self.options["path"])
+        return SamReader(self.options["path"], self.options.get("split_mb", "0"))
 
 
 class BamSource(SamSource):
@@ -181,12 +210,12 @@ class BamSource(SamSource):
         return BamReader(self.options["path"])
 
 
-def read_alignments(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_alignments(spark: SparkSession, path: str, kind: str, *, split_mb: float = 0) -> DataFrame:
     if kind not in ("sam", "bam"):
         raise FormatError(f"alignments are read from sam and bam, not {kind}")
     ship(spark)
     spark.dataSource.register(SamSource if kind == "sam" else BamSource)
-    return spark.read.format(kind).load(path)
+    return spark.read.format(kind).option("split_mb", split_mb).load(path)
 
 
 def header(path: str, kind: str) -> list[str]:

@@ -108,6 +108,14 @@ def test_tables_and_parts_of_a_command(spark, put, tmp_path):
         cli.parse(["extract", "-i", fasta, "-s", "A", "--parts"])
 
 
+def test_split_sam_has_the_same_records(spark, put):
+    head = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:c{i}\tLN:{i + 1}\n" for i in range(100))
+    path = put("s.sam", head + "".join(f"q{i}\t4\t*\t0\t0\t*\t*\t0\t0\t{'ACGT' * (i % 9)}\t*\tXA:Z:{i}\n" for i in range(500)))
+    whole, split = A.read_alignments(spark, path, "sam"), A.read_alignments(spark, path, "sam", split_mb=0.001)
+    assert split.rdd.getNumPartitions() > 10
+    assert [r.qname for r in split.orderBy("rec_no").collect()] == [r.qname for r in whole.orderBy("rec_no").collect()] == [f"q{i}" for i in range(500)]
+
+
 def test_paths(tmp_path):
     assert files.uncompressed_type("x/a.fastq.gz") == "fastq" and files.uncompressed_type("a.b.fa") == "fa"
     assert files.uncompressed_type("a.gz") == "gz"
