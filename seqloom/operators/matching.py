@@ -18,9 +18,11 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.bitmap import bitmap, in_bitmap
 from seqloom.functions.sequence import ASCII_FOLD, ascii_lower
 from seqloom.operators.patterns import MULTI, PatternList
 from seqloom.session import ship
@@ -30,6 +32,8 @@ NATIVE_PATTERNS = 13
 HIT = "file string, mate int, rec_no long, record_id string, file_no int, pattern string, position long"
 #: Bytes of patterns that are sent to every worker; a larger table is joined.
 MOST_PATTERN_BYTES = 64 << 20
+#: Bits of the bitmap that windows are looked up in before they are joined: 4 MB on each worker.
+BITMAP_BITS = 25
 
 
 class Automaton:
@@ -160,13 +164,25 @@ def _hit_batch(batch, rows, patterns, positions):
     return pa.RecordBatch.from_arrays([*of.columns, pa.array(patterns, pa.string()), pa.array(positions, pa.int64())], schema=_ARROW)
 
 
+def _hashes(windows: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, windows), np.uint64, len(windows))
+
+
 def hits_by_join(df: DataFrame, patterns: DataFrame) -> DataFrame:
     """:func:`hits` for a table of patterns of any size: windows of each pattern length meet the patterns in a shuffled join.
 
-    Only the distinct lengths come to the driver. A frequent window meets a pattern once, and AQE
+    Only the distinct lengths come to the driver, and a bitmap of the patterns' hashes, of fixed size, which
+    keeps most windows that are no pattern in the workers. A frequent window meets a pattern once, and AQE
     splits its partition.
     """
     ship(df.sparkSession)
+    patterns = patterns.where("pattern <> ''").select("pattern").distinct()
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(batch.column("pattern").to_pylist()).view(np.int64))], names=["h"])
+
+    bits = df.sparkSession.sparkContext.broadcast(bitmap(patterns.mapInArrow(hashed, "h long"), BITMAP_BITS))
     sizes = sorted(r.n for r in patterns.where("pattern <> ''").select(F.length("pattern").alias("n")).distinct().collect())
 
     def work(batches):
@@ -181,16 +197,18 @@ def hits_by_join(df: DataFrame, patterns: DataFrame) -> DataFrame:
                     n = max(len(seq) - k + 1, 0)
                     for a in range(0, n, _BATCH):
                         b = min(a + _BATCH, n)
-                        rows += [i] * (b - a)
-                        windows += [seq[j : j + k] for j in range(a, b)]
-                        at += starts[a:b].tolist()
+                        some = [seq[j : j + k] for j in range(a, b)]
+                        known = np.flatnonzero(in_bitmap(bits.value, _hashes(some)))
+                        rows += [i] * len(known)
+                        windows += [some[j] for j in known.tolist()]
+                        at += starts[known + a].tolist()
                         if len(rows) >= _BATCH:
                             yield _hit_batch(batch, rows, windows, at)
                             rows, windows, at = [], [], []
             if rows:
                 yield _hit_batch(batch, rows, windows, at)
 
-    return records_of(df).mapInArrow(work, HIT).join(patterns.where("pattern <> ''").select("pattern").distinct(), "pattern").select(*_ARROW.names)
+    return records_of(df).mapInArrow(work, HIT).join(patterns, "pattern").select(*_ARROW.names)
 
 
 def tallies(df: DataFrame, q: PatternList) -> DataFrame:
