@@ -8,13 +8,10 @@ import uuid
 from collections.abc import Callable
 from urllib.parse import unquote, urlparse
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.bitmap import bitmap, in_bitmap  # noqa: F401
 from seqloom.session import ship
 
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch stays small.
@@ -66,6 +63,16 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that are sent to every executor; larger tables are shuffled.
+FEW_ROWS = 1_000_000
+
+
+def where_few(ids: DataFrame) -> DataFrame:
+    """The table of one column of ids, marked for broadcast if a count of its rows allows it."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= FEW_ROWS else ids
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI, or None for another store."""
     p = urlparse(uri)
@@ -92,44 +99,3 @@ def text_of(name: str) -> Column:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, also where ``use`` has it inside a lambda over many elements."""
     return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
-
-
-#: Parts in which tasks send their bitmaps.
-BITMAP_PARTS = 64
-
-
-def bitmap(values: DataFrame, bits: int, mix=None) -> np.ndarray:
-    """A bitmap of 2^bits bits with those set that the first bits of the column ``h`` name, spread by ``mix`` if it is given.
-
-    Each task fills its own, parts of them are merged by tasks, and the driver gets BITMAP_PARTS parts: its
-    size depends on ``bits`` alone.
-    """
-    size = (1 << (bits - 3)) // BITMAP_PARTS
-
-    def fill(batches):
-        own = np.zeros(1 << bits, bool)
-        for batch in batches:
-            h = np.asarray(batch.column("h")).view(np.uint64)
-            own[(mix(h) if mix else h) >> np.uint64(64 - bits)] = True
-        if own.any():
-            for i, x in enumerate(np.split(np.packbits(own, bitorder="little"), BITMAP_PARTS)):
-                if x.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes())], pa.binary())], names=["part", "bits"])
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.uint8)
-        for b in rows["bits"]:
-            total |= np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "bits": [total.tobytes()]})
-
-    out = np.zeros((BITMAP_PARTS, size), np.uint8)
-    merged = values.select("h").mapInArrow(fill, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary")
-    for r in merged.collect():
-        out[r.part] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
-
-
-def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the first bits of each hash are set in a :func:`bitmap`."""
-    x = h >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
-    return (bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

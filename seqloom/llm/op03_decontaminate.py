@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bitmap, in_bitmap, shared_dir, small_batches, stored, text_of
+from seqloom.llm.common import bitmap, in_bitmap, shared_dir, small_batches, stored, text_of, where_few
 
 WINDOW = 5
 #: Tokens of a window with placeholders that must be words.
@@ -263,4 +263,4 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     while mine in docs.columns:
         mine += "_"
     bad = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias(mine)).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col(mine), "left_anti")
+    return docs.join(where_few(bad), F.col(f"`{id_col}`") == F.col(mine), "left_anti")

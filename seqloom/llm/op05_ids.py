@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import open_shared, shared_dir, small_batches, stored, text_of
@@ -95,11 +95,11 @@ def write(docs: DataFrame, home: str, tokenizer: str = TOKENIZER, end_id: int =
             yield listed()
 
     files = stored(dealt.mapInArrow(work, _FILES), f"{home}/files")
-    start, out = 0, []
-    for r in files.orderBy("task", "number").collect():  # a row for some 30 million ids
-        out.append((*r, start))
-        start += r.ids
-    return spark.createDataFrame(out, f"{_FILES}, start long")
+    # Where each file begins: the sums of the tasks before, of which there are few, and of the task's files before.
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.groupBy("task").agg(F.sum("ids").alias("of_task")).select("task", F.coalesce(F.sum("of_task").over(before), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("task").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    return files.join(bases, "task").select(*files.columns, (F.col("base") + F.coalesce(F.sum("ids").over(earlier), F.lit(0))).alias("start"))
 
 
 def _table(raw: bytes) -> tuple[np.ndarray, int]:
