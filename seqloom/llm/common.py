@@ -63,14 +63,14 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of ids that are sent to every executor; larger tables are shuffled.
+#: Rows of some numbers each that are sent to every executor; larger tables are shuffled.
 FEW_ROWS = 1_000_000
 
 
-def where_few(ids: DataFrame) -> DataFrame:
-    """The table of one column of ids, marked for broadcast if a count of its rows allows it."""
-    ids = checkpoint(ids)
-    return F.broadcast(ids) if ids.count() <= FEW_ROWS else ids
+def where_few(rows: DataFrame) -> DataFrame:
+    """A table of a few numeric columns, written once, and marked for broadcast if a count of its rows allows it."""
+    rows = checkpoint(rows)
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
 
 
 def local_path(uri: str) -> str | None:

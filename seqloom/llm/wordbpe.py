@@ -15,8 +15,8 @@ from tokenizers import Tokenizer
 TEXT_LEAF, LEAF = 8192, 4096
 #: Bytes or code points on either side of a join that are encoded again at first.
 WINDOW = 64
-#: Entries of each generation of a cache, of which two are held: this bounds a worker's memory.
-CACHE = 300_000
+#: Entries of each generation of the caches of pieces and of words, of which two are held: this bounds a worker's memory.
+CACHE, WORDS = 250_000, 50_000
 
 #: Fixed by the vocabulary file: its pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,12 +42,12 @@ def tokenizer_path(name: str) -> str:
 class _Cache(dict):
     """Values by key in two generations: a full one becomes the old one, from which what is used comes back."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         value = self[key] = self.old.get(key) or self.make(key)
@@ -100,8 +100,8 @@ class WordBpe:
         self.simple_pieces = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")).findall
         self.joins = 0  # of texts; words are remembered, so how often theirs are joined tells nothing
         self.tokenize = t.model.tokenize
-        self.pieces = _Cache(self._piece)
-        self.words = _Cache(self._word)
+        self.pieces = _Cache(self._piece, CACHE)
+        self.words = _Cache(self._word, WORDS)
 
     def _splits_words(self) -> bool:
         import json
