@@ -64,13 +64,14 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 #: Rows of some numbers each that are sent to every executor; larger tables are shuffled.
-FEW_ROWS = 1_000_000
+FEW_ROWS = 300_000
 
 
-def where_few(rows: DataFrame) -> DataFrame:
-    """A table of a few numeric columns, written once, and marked for broadcast if a count of its rows allows it."""
+def where_few(rows: DataFrame, size: Column | None = None) -> DataFrame:
+    """A table of a few numeric columns, written once, and marked for broadcast if a count of its rows (or of what they hold) allows it."""
     rows = checkpoint(rows)
-    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+    n = rows.agg(F.sum(size) if size is not None else F.count(F.lit(1))).first()[0]
+    return F.broadcast(rows) if (n or 0) <= FEW_ROWS else rows
 
 
 def local_path(uri: str) -> str | None:

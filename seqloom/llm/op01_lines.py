@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import let, shared_dir, stored
+from seqloom.llm.common import let, shared_dir, stored, where_few
 
 #: Words from which on a repeated run of lines is deleted.
 MIN_WORDS = 50
@@ -151,6 +151,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
     """The table with the later copies of repeated runs taken out of its texts, and ``n_deleted`` lines (``n_deleted_`` where the table has such a column).
 
     The stretches of a document, fewer than its lines, are gathered with it; no group is larger than a document.
+    Where a count shows them to be few they go to the texts, else both are shuffled.
     """
     copies = later_copies(runs(df, id_col, text_col, min_words))
     cut = copies.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("cut"))
@@ -160,7 +161,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wor
     count = "n_deleted"
     while count in df.columns:
         count += "_"
-    joined = df.join(cut.select(F.col("doc").alias(f"{mine}_doc"), F.col("cut").alias(mine)), F.col(id_col) == F.col(f"{mine}_doc"), "left")
+    cut = where_few(cut.select(F.col("doc").alias(f"{mine}_doc"), F.col("cut").alias(mine)), F.size(mine))
+    joined = df.join(cut, F.col(id_col) == F.col(f"{mine}_doc"), "left")
     text, spans = F.col(text_col), F.col(mine)
 
     def kept_before(parts, i):

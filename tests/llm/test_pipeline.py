@@ -113,7 +113,8 @@ def test_empty_table(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for name_ in ("documents", "pages"):
+        c.sql(f"create view {name_} as select * from '{DATA}/{name_}.parquet'")
     sql = c.sql(queries.ORACLE_SQL[name]).df()
     mine = queries.QUERIES[name](spark, DATA).toPandas()
     cols = sorted(sql.columns)
