@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqloom.session import ship
-from seqloom.sources.files import is_compressed, listed, opened
+from seqloom.sources.files import is_compressed, listed, opened, size_of
 
 SCHEMA = (
     "file string, rec_no bigint, id string, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int,"
@@ -174,7 +174,7 @@ class SamReader(DataSourceReader):
     def partitions(self):
         out = []
         for p in listed(self.path):
-            size = os.path.getsize(p)
+            size = size_of(p)
             if self.split and size > self.split and not is_compressed(p):
                 out += [Part(p, a, min(a + self.split, size)) for a in range(0, size, self.split)]
             else:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqloom.session import ship
-from seqloom.sources.files import is_compressed, listed, opened
+from seqloom.sources.files import is_compressed, listed, opened, size_of
 
 SCHEMA = "file string, mate int, rec_no bigint, id string, seq string, qual string, raw string, file_no int"
 
@@ -128,7 +128,7 @@ class FastxReader(DataSourceReader):
     def partitions(self):
         out = []
         for n, p in enumerate(listed(self.path)):
-            size = os.path.getsize(p)
+            size = size_of(p)
             if self.split and size > self.split and not is_compressed(p):
                 out += [Part(p, a, min(a + self.split, size), n) for a in range(0, size, self.split)]
             else:

@@ -116,6 +116,21 @@ def test_split_sam_has_the_same_records(spark, put):
     assert [r.qname for r in split.orderBy("rec_no").collect()] == [r.qname for r in whole.orderBy("rec_no").collect()] == [f"q{i}" for i in range(500)]
 
 
+def test_stores(spark, put, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(files, "store_of", lambda p: (fs.LocalFileSystem(), p.removeprefix("store://")) if p.startswith("store://") else (None, p))
+    (tmp_path / "d").mkdir()
+    for name, data in (("d/a.fa", FASTA.encode()), ("d/b.fa.gz", gzip.compress(FASTA.encode())), ("d/_c", b"")):
+        put(name, data)
+    found = files.listed(f"store://{tmp_path}/d")
+    assert found == [f"store://{tmp_path}/d/a.fa", f"store://{tmp_path}/d/b.fa.gz"] and files.listed(found[0]) == found[:1]
+    assert [files.opened(p).read() for p in found] == [FASTA.encode()] * 2 and files.size_of(found[0]) == len(FASTA) and files.is_compressed(found[1])
+    assert [r[3:5] for r in X.records(files.opened(found[1]), "b.fa.gz", 1)] == [("seq1 one", "ACGTACGT"), ("seq2", "TTTTTTTT"), ("seq3", "GGACGTCC")]
+    with pytest.raises(FileNotFoundError):
+        files.listed(f"store://{tmp_path}/none")
+
+
 def test_paths(tmp_path):
     assert files.uncompressed_type("x/a.fastq.gz") == "fastq" and files.uncompressed_type("a.b.fa") == "fa"
     assert files.uncompressed_type("a.gz") == "gz"
