@@ -15,7 +15,9 @@ from seqloom.functions.bitmap import bitmap, in_bitmap  # noqa: F401
 from seqloom.session import ship
 
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch stays small.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
+#: Bytes of an Arrow batch: where texts are long, it has fewer rows.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

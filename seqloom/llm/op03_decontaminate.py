@@ -45,7 +45,7 @@ MIN_SHARE = 0.8
 #: Bits of the lookup bitmap: 4 MB on each worker.
 BITMAP_BITS = 25
 #: Distinct words whose canonical form a worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 
 # Words for numbers, and units that count as such after a number.
 NUMBER_WORDS = frozenset(

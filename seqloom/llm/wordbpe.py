@@ -16,7 +16,7 @@ TEXT_LEAF, LEAF = 8192, 4096
 #: Bytes or code points on either side of a join that are encoded again at first.
 WINDOW = 64
 #: Entries of each generation of the caches of pieces and of words, of which two are held: this bounds a worker's memory.
-CACHE, WORDS = 250_000, 50_000
+CACHE, WORDS = 200_000, 50_000
 
 #: Fixed by the vocabulary file: its pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
