@@ -14,6 +14,9 @@ those that a cheaper search proposes (``hints``) and the smallest of all its cel
 cells that are not one component by that are compared with each cell's smallest, and only cells that
 still are not are compared pair by pair.
 
+Of the shingles that two sets share, the first in the order taken leaves no fewer behind it in either than they
+must share, so cells tell pairs apart by its places. Sets differ in no fewer hashes than their marks in bits, the
+parities of how many hashes begin alike: the join of the last step tells pairs apart by that before it makes a row.
 Before whole sets move, a pair is held against how many of each set's hashes fall into each of some n / 2
 bins: two sets share no more than the sum of the lesser numbers, which tells most unlike pairs apart.
 
@@ -47,6 +50,8 @@ CACHE = 100_000
 SHARED_BITS, USED_BITS = 27, 25
 #: Bits of a hash that tell whether a shingle is shared.
 SENT_BITS = 40
+#: Numbers of 64 bits that a set's marks are.
+MARKS = 8
 #: Prefix shingles that a task sorts before it sends them on, and that a task merges; bytes of text for each.
 FLUSH, SHARD, PER_SHINGLE = 1_000_000, 2_000_000, 30
 
@@ -106,6 +111,12 @@ def at_most_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y).sum())
 
 
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """For each beginning of hashes whether an odd number of them has it; two sets differ in as many hashes as their marks in bits, or more."""
+    odd = np.bincount((shingles >> _U(65 - (64 * MARKS).bit_length())).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(source: DataFrame) -> np.ndarray:
     """How often shingles occur in documents, by the first bits of their hash, on a logarithmic scale."""
 
@@ -133,7 +144,7 @@ def _sketch(source: DataFrame) -> np.ndarray:
 
 
 def _sets(source: DataFrame, sketch=None, wanted=None) -> DataFrame:
-    """(doc_id, sig, n, shingles, bins): the set of each row, or its prefix and bins where a sketch is given; sig names the whole set.
+    """(doc_id, sig, n, shingles, bins, marks): the set of each row, or its prefix, bins and marks where a sketch is given; sig names the whole set.
 
     Where a bitmap of wanted documents is given, others are passed over.
     """
@@ -146,14 +157,15 @@ def _sets(source: DataFrame, sketch=None, wanted=None) -> DataFrame:
             sets = [grams.of(t) for t in batch.column("text").to_pylist()]
             sigs = np.array([xxhash.xxh64_intdigest(s.tobytes(), 3) for s in sets], _U).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
-            counts = pa.nulls(len(sets), pa.binary())
+            counts, odd = pa.nulls(len(sets), pa.binary()), pa.nulls(len(sets), pa.list_(pa.int64()))
             if sketch is not None:
                 counts = pa.array([bins(s) for s in sets], pa.binary())
+                odd = pa.array([marks(s) for s in sets], pa.list_(pa.int64()))
                 sets = [prefix(s, sketch.value) for s in sets]
             lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs), pa.array(sizes), lists, counts], names=["doc_id", "sig", "n", "shingles", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs), pa.array(sizes), lists, counts, odd], names=["doc_id", "sig", "n", "shingles", "bins", "marks"])
 
-    return source.mapInArrow(work, "doc_id bigint, sig bigint, n bigint, shingles array<bigint>, bins binary")
+    return source.mapInArrow(work, "doc_id bigint, sig bigint, n bigint, shingles array<bigint>, bins binary, marks array<bigint>")
 
 
 def _shared(prints: DataFrame, parts: int, home: str) -> DataFrame:
@@ -209,21 +221,24 @@ def _shared(prints: DataFrame, parts: int, home: str) -> DataFrame:
 
 
 def _kept(prints: DataFrame, bits) -> DataFrame:
-    """(doc_id, sig, n, shingles): prefixes cut to the shingles in a bitmap, where any are left."""
+    """(doc_id, sig, n, shingles, places): prefixes cut to the shingles in a bitmap, with the places that these had, where any are left."""
 
     def work(batches):
         for batch in batches:
             lists = batch.column("shingles")
             flat = np.asarray(lists.values).view(_U)
             keep = in_bitmap(bits.value, flat)
-            ends = np.concatenate([[0], np.cumsum(keep)])[np.asarray(lists.offsets)]
+            starts = np.asarray(lists.offsets)
+            places = np.arange(starts[0], starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+            ends = np.concatenate([[0], np.cumsum(keep)])[starts]
             some = np.flatnonzero(np.diff(ends))
             if len(some):
                 rows = pa.array(some)
-                cut = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(flat[keep][ends[0] :].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "sig", "n")), cut.take(rows)], names=["doc_id", "sig", "n", "shingles"])
+                left = keep[starts[0] : starts[-1]]
+                cuts = [pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(x)) for x in (flat[starts[0] : starts[-1]][left].view(np.int64), places[left].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("doc_id", "sig", "n")), *(c.take(rows) for c in cuts)], names=["doc_id", "sig", "n", "shingles", "places"])
 
-    return prints.mapInArrow(work, "doc_id bigint, sig bigint, n bigint, shingles array<bigint>")
+    return prints.select("doc_id", "sig", "n", "shingles").mapInArrow(work, "doc_id bigint, sig bigint, n bigint, shingles array<bigint>, places array<bigint>")
 
 
 def _sets_of(source: DataFrame, used: DataFrame) -> DataFrame:
@@ -236,7 +251,7 @@ def _likely(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """(a, b): pairs whose sizes and bins do not tell them apart."""
     pairs = checkpoint(pairs)
     met = where_few(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    points = checkpoint(points.join(met, "node", "left_semi"))
+    points = checkpoint(points.select("node", "n", "bins").join(met, "node", "left_semi"))
     sides = [points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
 
     def work(batches):
@@ -271,16 +286,16 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = spark.sparkContext.broadcast(_sketch(source))
     prints = stored(_sets(source, sketch), f"{home}/prefixes")
-    points = stored(prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bins").alias("bins")), f"{home}/points")
+    points = stored(prints.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("marks").alias("marks")), f"{home}/points")
     shared = _shared(prints, 1 + size // (PER_SHINGLE * SHARD), f"{home}/shared")
     bits = spark.sparkContext.broadcast(bitmap(shared, SHARED_BITS))
     own = _kept(prints, bits).withColumnRenamed("doc_id", "node").join(points.select("sig", "node"), ["sig", "node"], "left_semi").dropDuplicates(["sig"])
-    rows = stored(own.select("sig", "node", "n", F.explode("shingles").alias("s")), f"{home}/rows")
-    first = F.min(F.struct("node", "n"))
+    rows = own.select("node", "n", F.explode(F.arrays_zip("shingles", "places")).alias("x"))
+    rows = stored(rows.select("node", "n", F.col("x.shingles").alias("s"), F.col("x.places").alias("i")), f"{home}/rows")
+    first = F.min(F.struct("node", "n", "i"))
     cells = rows.groupBy("s").agg(first.alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     cells = stored(rows.join(cells, "s"), f"{home}/cells")
-    # No pair of sets of which one has less than 0.8 of the other's size is similar enough.
-    under = cells.where((F.col("node") != F.col("low.node")) & _sizes(F.col("n"), F.col("low.n")))
+    under = cells.where((F.col("node") != F.col("low.node")) & _first_shared("", "low."))
     led = under.groupBy("node").agg(F.min("low.node").alias("a")).select("a", F.col("node").alias("b"))
     if hints is not None:
         at = points.select("sig", "node")
@@ -290,12 +305,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     links = _verified(led, points, source, f"{home}/led")
     mixed = _mixed(cells, links, f"{home}/mixed")
     # The points of a cell with its smallest, one point of each component that the cell holds.
-    one = mixed.where((F.col("node") != F.col("low.node")) & _sizes(F.col("n"), F.col("low.n")) & (F.col("c") != F.col("low_c")))
+    one = mixed.where((F.col("node") != F.col("low.node")) & _first_shared("", "low.") & (F.col("c") != F.col("low_c")))
     again = one.select(F.col("low.node").alias("a"), F.col("node").alias("b"))
     links = checkpoint(links.union(_verified(again, points, source, f"{home}/again")))
-    placed = _mixed(mixed.drop("c", "low_c"), links, f"{home}/rest").select("s", "node", "n", "c")
+    placed = _mixed(mixed.drop("c", "low_c"), links, f"{home}/rest").select("s", "node", "n", "i", "c")
+    placed = placed.join(points.select("node", *(F.get("marks", F.lit(k)).alias(f"m{k}") for k in range(MARKS))), "node")
     a, b = placed.alias("a"), placed.alias("b")
-    near = (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _sizes(F.col("a.n"), F.col("b.n"))
+    differ = sum((F.bit_count(F.col(f"a.m{k}").bitwiseXOR(F.col(f"b.m{k}"))) for k in range(1, MARKS)), F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))))
+    like = differ * (NUMERATOR + DENOMINATOR) <= (F.col("a.n") + F.col("b.n")) * (DENOMINATOR - NUMERATOR)
+    near = (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.c") != F.col("b.c")) & _first_shared("a.", "b.") & like
     rest = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     members = connected_components(links.union(_verified(rest, points, source, f"{home}/pairs")))
     named = points.select("sig", "node").join(members, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
@@ -312,3 +330,13 @@ def _mixed(cells: DataFrame, links: DataFrame, home: str) -> DataFrame:
 
 def _sizes(n, m):
     return (n * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n * NUMERATOR)
+
+
+def _first_shared(a: str, b: str):
+    """Whether a shingle at the places i of two sets may be the first that they share, if they are similar enough.
+
+    Each has to have as many from there on as both must share; no pair of which one has less than 0.8 of the other's size does.
+    """
+    n, m, i, j = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}i"), F.col(f"{b}i")
+    least = (n + m) * NUMERATOR
+    return _sizes(n, m) & ((n - i) * (NUMERATOR + DENOMINATOR) >= least) & ((m - j) * (NUMERATOR + DENOMINATOR) >= least)

@@ -78,3 +78,32 @@ def test_stage_drops_copies_that_differ_in_more_than_three_bits(spark, tmp_path)
     rows = [(1, " ".join(words)), (2, " ".join(changed)), (None, " ".join(words)), (3, prose(random.Random(9), 200))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in C.simhash_dedup(spark, docs, "").collect()) == ["1", "3", "None"]
+
+
+def test_marks_bound_what_sets_differ_in():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        both = rng.integers(0, 2**64, rng.integers(0, 400), np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**64, rng.integers(0, 60), np.uint64)])) for _ in range(2))
+        assert sum((int(a) ^ int(b)).bit_count() for a, b in zip(N.marks(x).view(np.uint64), N.marks(y).view(np.uint64))) <= len(np.setxor1d(x, y))
+
+
+def test_a_group_of_copies_that_are_not_near_enough_makes_few_pairs(spark, monkeypatch):
+    """Each differs from the first in some words, and most from each other in too many: the last step verifies few of all pairs."""
+    rng, made, verified = random.Random(4), [], N._verified
+
+    def counted(pairs, points, source, home):
+        made.append((home.rpartition("/")[2], pairs.count()))
+        return verified(pairs, points, source, home)
+
+    monkeypatch.setattr(N, "_verified", counted)
+    base, rows = prose(rng, 140).split(), []
+    for i in range(90):
+        words = list(base)
+        for k in rng.sample(range(140), rng.choice((2, 5, 8))):
+            words[k] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and 10 < len(set(want.values())) < 80
+    assert dict(made)["pairs"] < 400, made
