@@ -274,10 +274,11 @@ def _verified(pairs: DataFrame, points: DataFrame, source: DataFrame, home: str)
     return checkpoint(both.where(common * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR).select("a", "b"))
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hints: DataFrame | None = None) -> DataFrame:
-    """(doc_id, component_id): documents that a chain of similar pairs joins share the smallest doc_id among them.
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hints: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id): documents that a chain of similar or given pairs joins share the smallest doc_id among them.
 
-    hints has pairs of documents (a, b) that are worth a look first; they change the work, not the result.
+    hints has pairs of documents (a, b) that are worth a look first; they change the work, not the result. given has
+    pairs that another search has joined: they hold whatever their sets, and what they join is not compared again.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -297,12 +298,21 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     cells = stored(rows.join(cells, "s"), f"{home}/cells")
     under = cells.where((F.col("node") != F.col("low.node")) & _first_shared("", "low."))
     led = under.groupBy("node").agg(F.min("low.node").alias("a")).select("a", F.col("node").alias("b"))
+    named = prints.select("doc_id", "sig").join(points.select("sig", "node"), "sig").select("doc_id", "node")
+
+    def of_points(pairs):
+        both = pairs.join(named.toDF("a", "na"), "a").join(named.toDF("b", "nb"), "b").where("na <> nb")
+        return both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+
     if hints is not None:
-        at = points.select("sig", "node")
-        named = prints.select("doc_id", "sig").join(at, "sig").select("doc_id", "node")
-        mine = hints.join(named.toDF("a", "na"), "a").join(named.toDF("b", "nb"), "b").where("na <> nb")
-        led = led.union(mine.select(F.least("na", "nb"), F.greatest("na", "nb")))
+        led = led.union(of_points(hints))
+    if given is not None:
+        given = checkpoint(of_points(given))
+        at = where_few(connected_components(given))
+        sides = [at.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+        led = led.join(sides[0], "a", "left").join(sides[1], "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
     links = _verified(led, points, source, f"{home}/led")
+    links = links if given is None else checkpoint(links.union(given))
     mixed = _mixed(cells, links, f"{home}/mixed")
     # The points of a cell with its smallest, one point of each component that the cell holds.
     one = mixed.where((F.col("node") != F.col("low.node")) & _first_shared("", "low.") & (F.col("c") != F.col("low_c")))

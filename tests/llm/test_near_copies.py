@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline as C
 from seqloom.llm import near_copies as N
+from seqloom.llm import op06_simhash
 from seqloom.llm.near_copies import near_copies
 
 from .data import prose
@@ -107,3 +108,14 @@ def test_a_group_of_copies_that_are_not_near_enough_makes_few_pairs(spark, monke
     want = brute(rows)
     assert got == want and 10 < len(set(want.values())) < 80
     assert dict(made)["pairs"] < 400, made
+
+
+def test_stage_drops_what_fingerprints_join(spark):
+    """Texts that are mostly one passage again and again have equal fingerprints, though their sets are not similar."""
+    passage = prose(random.Random(11), 61).split()
+    rows = [(i, " ".join(passage * 60 + prose(random.Random(20 + i), 40).split())) for i in range(2)]
+    rows += [(2, prose(random.Random(12), 200)), (3, None), (None, rows[0][1])]
+    assert brute([r for r in rows[:2]]) == {0: 0, 1: 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in op06_simhash.near_duplicates(docs, shingle=5).collect()}[1] == 0
+    assert sorted(str(r.doc_id) for r in C.simhash_dedup(spark, docs, "").collect()) == ["0", "2", "3", "None"]
