@@ -16,8 +16,9 @@ A file holds sorted hash arrays and a table of their places: n-grams seen once,
 numbers; numbers have the least width that holds them. An array keeps 32 bits of a hash behind those
 that its directory implies, so that an absent n-gram is taken for a present one about four times in 10^9. A
 pair in no other array that has one predecessor was seen once, so contexts seen once are not stored.
-Workers map at most MAPS files at a time where the folder is mounted (and load them from other stores),
-and look up whole batches. What the driver sees and sends has one size, whatever the data.
+Workers map at most MAPS files at a time where the folder is mounted, without holding them open, and load at
+most LOADS from other stores. They look up GROUP bytes of text at a time, as each look-up goes to every shard.
+What the driver sees and sends has one size, whatever the data.
 
 Tokens are the words of a text, A-Z in lower case, then one end; a begin mark precedes the first.
 Null and empty texts are an end alone. Rows without an id are scored and not learnt from. Repeated
@@ -29,7 +30,9 @@ from __future__ import annotations
 
 import json
 import math
+import mmap
 import os
+import sys
 import uuid
 from collections import OrderedDict
 from itertools import pairwise
@@ -42,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import local_path, open_shared, shared_dir, small_batches, stored, text_of
+from seqloom.llm.common import ARROW_BYTES, local_path, open_shared, shared_dir, small_batches, stored, text_of
 
 ORDER = 3
 #: Tokens that a task counts before it sends them on.
@@ -53,8 +56,12 @@ SHARD, TOKEN_BYTES = 2_000_000, 6
 FILE, WORD_SHARDS = 4, 8
 #: Files that n-grams are dealt to in one step.
 FAN = 1024
-#: Files that a worker holds mapped.
-MAPS = 128
+#: Whether a file can be mapped without a handle that stays open.
+_CLOSED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+#: Files that a worker holds mapped, and loaded. Each batch goes through all files, so with fewer maps than files it maps each anew.
+MAPS, LOADS = 16384 if _CLOSED else 512, 128
+#: Bytes of text that are scored together: what one batch may have.
+GROUP = ARROW_BYTES
 
 _U = np.uint64
 _TASK_WORDS = 1_000_000
@@ -286,12 +293,12 @@ class _Files:
     """Files that a worker has mapped; those used longest ago are let go."""
 
     def __init__(self, home: str):
-        self.home, self.open = home, OrderedDict()
+        self.home, self.open, self.most = home, OrderedDict(), MAPS if local_path(home) else LOADS
 
     def arrays(self, name: str, array: str):
         """The directory and arrays of a name in a file, or None where there are none."""
         if name not in self.open:
-            if len(self.open) >= MAPS:
+            if len(self.open) >= self.most:
                 self.open.popitem(last=False)
             self.open[name] = self._map(f"{self.home}/model/{name}")
         self.open.move_to_end(name)
@@ -302,7 +309,8 @@ class _Files:
         path = local_path(uri)
         try:
             if path:
-                raw = np.asarray(np.memmap(path, np.uint8, "r"))
+                with open(path, "rb") as f:
+                    raw = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **_CLOSED), np.uint8)
             else:
                 with open_shared(uri, "rb") as f:
                     raw = np.frombuffer(f.read(), np.uint8)
@@ -711,39 +719,55 @@ def _interpolated(count, total, follow, discounts, lower):
     return direct + back * lower
 
 
+def _groups(batches):
+    """Batches joined, up to GROUP bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        more = batch.column("text").nbytes
+        if held and size + more > GROUP:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _scored(about: dict, batches):
+    model = Model(about)
+    known, rows = _Words(), np.zeros((6, 0), np.int64)
+    n, v = about["train_tokens"], about["vocabulary"]
+    for group in _groups(batches):
+        if len(known.hashes) > _TASK_WORDS // 2:
+            known.forget()
+            rows = np.zeros((6, 0), np.int64)
+        docs = [known.ids(t) for t in group.column("text").to_pylist()]
+        hashes = np.array(known.hashes, _U)
+        rows = np.concatenate([rows, model.words(hashes[rows.shape[1] :])], axis=1)
+        ids = np.concatenate(docs) if docs else np.empty(0, np.int64)
+        ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
+        sizes = np.diff(ends, prepend=0) - 2
+        inner = np.ones(len(ids), bool)
+        inner[ends - sizes - 2] = inner[ends - sizes - 1] = False
+        at = np.flatnonzero(inner)
+        starts = np.cumsum(sizes) - sizes
+        base = np.log10((rows[0] + 1) / (n + v + 1))[ids[at]]
+        prob = np.log10(model.probabilities(rows, hashes, ids, at))
+        sums = [np.add.reduceat(x, starts) if len(docs) else x for x in (base, prob, (rows[0] > 0)[ids[at]].astype(np.int64))]
+        out = pa.table(
+            [group.column("doc_id"), group.column("held_out"), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(len(docs), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+        yield from out.combine_chunks().to_batches()
+
+
 def score(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of whole texts."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text_of(text_col).cast("binary").alias("text"))
     key = source.schema["doc_id"].dataType.simpleString()
 
-    def work(batches):
-        model = Model(about)
-        known, rows = _Words(), np.zeros((6, 0), np.int64)
-        n, v = about["train_tokens"], about["vocabulary"]
-        for batch in batches:
-            if len(known.hashes) > _TASK_WORDS // 2:
-                known.forget()
-                rows = np.zeros((6, 0), np.int64)
-            docs = [known.ids(t) for t in batch.column("text").to_pylist()]
-            hashes = np.array(known.hashes, _U)
-            rows = np.concatenate([rows, model.words(hashes[rows.shape[1] :])], axis=1)
-            ids = np.concatenate(docs) if docs else np.empty(0, np.int64)
-            ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
-            sizes = np.diff(ends, prepend=0) - 2
-            inner = np.ones(len(ids), bool)
-            inner[ends - sizes - 2] = inner[ends - sizes - 1] = False
-            at = np.flatnonzero(inner)
-            starts = np.cumsum(sizes) - sizes
-            base = np.log10((rows[0] + 1) / (n + v + 1))[ids[at]]
-            prob = np.log10(model.probabilities(rows, hashes, ids, at))
-            sums = [np.add.reduceat(x, starts) if len(docs) else x for x in (base, prob, (rows[0] > 0)[ids[at]].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(len(docs), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return source.mapInArrow(work, f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return source.mapInArrow(lambda batches: _scored(about, batches), f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

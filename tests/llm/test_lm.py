@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqloom.llm import op07_lm as M
@@ -96,6 +97,38 @@ def test_files_are_let_go(tmp_path, monkeypatch):
     assert not files.find("f-99", "a", keys[0])[0].any()
 
 
+def test_files_stay_mapped(tmp_path, monkeypatch):
+    for i in range(300):
+        file = M._File(f"file://{tmp_path}/model/f-{i}")
+        file.put("a", np.array([5 << 40], np.uint64))
+        file.close()
+    files, mapped = M._Files(f"file://{tmp_path}"), []
+    monkeypatch.setattr(files, "_map", lambda uri: mapped.append(uri) or M._Files._map(uri))
+    for i in [*range(300), *range(300)]:
+        assert files.find(f"f-{i}", "a", np.array([5 << 40, 6 << 40], np.uint64))[0].tolist() == [True, False]
+    assert len(mapped) == 300
+
+
+def test_lookups_follow_the_bytes_not_the_batches(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD", 300)
+    docs = [(i, f"w{i % 7} of w{i % 5} and w{i % 3}") for i in range(600)]
+    about = M.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    found, find = [], M._Files.find
+    monkeypatch.setattr(M._Files, "find", lambda self, *a: found.append(a) or find(self, *a))
+    batch = pa.table([[d[0] for d in docs], [d[0] % 2 == 0 for d in docs], pa.array([d[1].encode() for d in docs], pa.binary())], names=["doc_id", "held_out", "text"])
+
+    def scored(rows):
+        found.clear()
+        out = pa.Table.from_batches(M._scored(about, iter(batch.to_batches(rows))))
+        return len(found), out.combine_chunks().to_pydict()
+
+    assert scored(10) == scored(600)
+    monkeypatch.setattr(M, "GROUP", 100)  # each batch by itself
+    many, rows = scored(10)
+    assert many > 10 * scored(600)[0] and rows["doc_id"] == [d[0] for d in docs]
+    assert np.allclose(rows["score"], scored(600)[1]["score"])
+
+
 def test_beats_the_base_on_held_out_texts(spark):
     df = documents(spark)
     held = [r for r in M.perplexity(M.score(df, M.train(df))).where("held_out").collect()]
