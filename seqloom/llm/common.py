@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,15 +55,32 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Within it, what an action has shuffled is deleted when the action ends.
+
+    Else it stays until the driver happens to collect its garbage, and stages of many small steps fill the disk.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that a lost executor loses nothing."""
     _checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_go(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a query of its own, which is planned with that setting
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a table to the shared folder and read it again; compressed, unlike a checkpoint."""
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_go(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +91,8 @@ FEW_ROWS = 300_000
 def where_few(rows: DataFrame, size: Column | None = None) -> DataFrame:
     """A table of a few numeric columns, written once, and marked for broadcast if a count of its rows (or of what they hold) allows it."""
     rows = checkpoint(rows)
-    n = rows.agg(F.sum(size) if size is not None else F.count(F.lit(1))).first()[0]
+    with shuffles_go(rows.sparkSession):
+        n = rows.agg(F.sum(size) if size is not None else F.count(F.lit(1))).first()[0]
     return F.broadcast(rows) if (n or 0) <= FEW_ROWS else rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import checkpoint
+from seqloom.llm.common import checkpoint, shuffles_go
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _sign(links: DataFrame) -> tuple[int, int]:
-    n, x = links.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+    with shuffles_go(links.sparkSession):
+        n, x = links.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     return n, x

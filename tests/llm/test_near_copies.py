@@ -1,10 +1,12 @@
 import random
+import time
 
 import numpy as np
 
 import corpus_pipeline as C
 from seqloom.llm import near_copies as N
 from seqloom.llm import op06_simhash
+from seqloom.llm.components import connected_components
 from seqloom.llm.near_copies import near_copies
 
 from .data import prose
@@ -119,3 +121,22 @@ def test_stage_drops_what_fingerprints_join(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in op06_simhash.near_duplicates(docs, shingle=5).collect()}[1] == 0
     assert sorted(str(r.doc_id) for r in C.simhash_dedup(spark, docs, "").collect()) == ["0", "2", "3", "None"]
+
+
+def _shuffles(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffles_behind(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key, None), _shuffles(spark)
+    found = connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long"))
+    for _ in range(50):
+        if not _shuffles(spark) - before:
+            break
+        time.sleep(0.2)  # they are deleted behind the action
+    assert not _shuffles(spark) - before
+    assert spark.conf.get(key, None) == was
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(301)}
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(301)}
