@@ -140,3 +140,20 @@ def test_steps_leave_no_shuffles_behind(spark):
     assert spark.conf.get(key, None) == was
     assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(301)}
     assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(301)}
+
+
+def test_few_edges_are_joined_in_one_task(spark):
+    """Steps are some eight stages each: what one task holds is joined there, and gives what the steps give."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(i, i + 1) for i in range(500, 600)] + [(-5, 2**62), (7, 7), (None, 3)]
+    edges, sc = spark.createDataFrame(rows, "a long, b long"), spark.sparkContext
+
+    def run(name, **kw):
+        sc.setJobGroup(name, name)
+        found, tracker = sorted(map(tuple, connected_components(edges, **kw).collect())), sc.statusTracker()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return found, sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(name))
+
+    (found, stages), (steps, more) = run("few edges"), run("many edges", few=0)
+    assert found == steps and (2**62, -5) in found
+    assert stages < 12 < more, (stages, more)
