@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import open_shared, shared_dir, small_batches, stored, text_of
 from seqloom.llm.op02_bpe import TOKENIZER
 from seqloom.llm.rangecoder import BLOCK, Corrupt, pack_block, unpack_block
-from seqloom.llm.wordbpe import tokenizer_path, word_bpe
+from seqloom.llm.wordbpe import TOGETHER, tokenizer_path, word_bpe
 
 END_ID = 1
 #: Ids after which a task begins another file.
 ROLL = 1 << 25
+#: Pieces of words that a worker remembers, in each of two generations.
+PIECES = 500_000
 #: The document table at a file's end: doc_id, whether it is null, ids. Then its crc32, its length and a mark.
 _ROW = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _MARK = b"IDS1"
@@ -66,6 +68,19 @@ class _Writer:
         return len(self.rows), self.ids, self.bytes + len(tail)
 
 
+def _gathered(batches):
+    """Tables of one chunk, of so many rows as hold TOGETHER bytes of text, or a batch more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def write(docs: DataFrame, home: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", roll: int = ROLL) -> DataFrame:
     """Encode and write; the files, in order, with the place of their first id: (task, number, path, docs, ids, bytes, start)."""
     spark = docs.sparkSession
@@ -75,7 +90,7 @@ def write(docs: DataFrame, home: str, tokenizer: str = TOKENIZER, end_id: int =
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("task", F.spark_partition_id())
 
     def work(batches):
-        bpe, writer, number, task = word_bpe(tokenizer_path(tokenizer)), None, 0, 0
+        bpe, writer, number, task = word_bpe(tokenizer_path(tokenizer), PIECES), None, 0, 0
         alphabet, end = max(len(bpe.strings), end_id + 1), (end_id,)
 
         def listed():
@@ -83,11 +98,11 @@ def write(docs: DataFrame, home: str, tokenizer: str = TOKENIZER, end_id: int =
             cells = (task, number, writer.path, d, k, b)
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["task", "number", "path", "docs", "ids", "bytes"])
 
-        for batch in batches:
-            for task, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("task", "doc_id", "text"))):
+        for batch in _gathered(batches):
+            for task, doc_id, ids in zip(batch["task"].to_pylist(), batch["doc_id"].to_pylist(), bpe.encode_all(batch["text"].chunk(0), end)):
                 if writer is None:
                     writer = _Writer(f"{home}/ids/{uuid.uuid4().hex}.ids", alphabet)
-                writer.add(doc_id, bpe.encode(text, end))
+                writer.add(doc_id, ids)
                 if writer.ids >= roll:
                     yield listed()
                     writer, number = None, number + 1

@@ -8,6 +8,8 @@ import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -17,6 +19,8 @@ TEXT_LEAF, LEAF = 8192, 4096
 WINDOW = 64
 #: Entries of each generation of the caches of pieces and of words, of which two are held: this bounds a worker's memory.
 CACHE, WORDS = 200_000, 50_000
+#: Bytes of texts that are encoded together; a longer text is encoded by itself.
+TOGETHER = 4 << 20
 
 #: Fixed by the vocabulary file: its pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -25,9 +29,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = rb" \t\n\r\x0b\f"
 _WORDS = re.compile(rb"[^%s]+" % _SPACE)
 _GIANT = re.compile(rb"[^%s]{%d,}" % (_SPACE, LEAF + 1))
-#: Bytes of printable ASCII, of white space that cuts words and of Latin letters up to U+024F, and what of them is none of these.
+#: Bytes of printable ASCII, of white space that cuts words and of Latin letters up to U+024F, and what of them is none of these
+#: or is a letter whose lower case lies behind U+024F.
 _LATIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC2, 0xCA)])
-_NOT_SIMPLE = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\|")
+_FAR = [chr(c).encode() for c in range(0xA1, 0x250) if chr(c).lower() > "\u024f"]
+_NOT_SIMPLE = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\||" + b"|".join(b"%c[%s]" % (a, bytes(x[1] for x in _FAR if x[0] == a)) for a in sorted({x[0] for x in _FAR})))
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,7 +87,7 @@ class WordBpe:
     anywhere, and so is, token by token, a word of more than LEAF code points.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
@@ -97,10 +103,13 @@ class WordBpe:
         # The same pattern for these letters alone, which the standard library matches faster.
         latin = "".join(map(chr, range(33, 592)))
         letters, numbers = ("".join(regex.findall(c, latin)) for c in (r"\p{L}", r"\p{N}"))
-        self.simple_pieces = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")).findall
+        latin_pattern = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
+        self.simple_pieces = re.compile(latin_pattern).findall
+        # Spaces are pieces of their own here; letters are tried first, as nothing else in the pattern begins with one.
+        self.spaced_pieces = re.compile(f"[{letters}]+| |{latin_pattern}").findall
         self.joins = 0  # of texts; words are remembered, so how often theirs are joined tells nothing
         self.tokenize = t.model.tokenize
-        self.pieces = _Cache(self._piece, CACHE)
+        self.pieces = _Cache(self._piece, cache)
         self.words = _Cache(self._word, WORDS)
 
     def _splits_words(self) -> bool:
@@ -117,6 +126,8 @@ class WordBpe:
         )
 
     def _piece(self, piece: str) -> bytes:
+        if piece == " ":  # parts words
+            return b""
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return _packed([x.id for x in self.tokenize(mapped)])
 
@@ -150,6 +161,45 @@ class WordBpe:
             units = self.text_tree(text)
         return np.frombuffer(b"".join([*units, _packed(more)]), np.int32)
 
+    def encode_all(self, texts: pa.Array, more: tuple[int, ...] = ()) -> list[np.ndarray]:
+        """Ids of each of many whole texts (binary, none null), and ``more`` behind each; a word is looked up once, however often they have it."""
+        if not self.plain or not len(texts) or pc.max(pc.binary_length(texts)).as_py() > TOGETHER:
+            return [self.encode(t, more) for t in texts.to_pylist()]
+        lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
+        cuts = np.asarray(lists.offsets)
+        words = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
+        ids, sizes = self._each(words.dictionary.cast(pa.binary()))
+        at = np.asarray(words.indices)
+        n = sizes[at]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - stops[:-1], n) + np.arange(stops[-1])]
+        ends = stops[cuts - cuts[0]][1:]
+        out = np.insert(out, np.repeat(ends, len(more)), np.tile(np.array(more, np.int32), len(ends)))
+        return np.split(out, ends[:-1] + len(more) * np.arange(1, len(ends)))
+
+    def _each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, some of them empty, one word after another, and how many each has."""
+        together, odd = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b" ")[0].as_py(), {}
+        if together.translate(None, _LATIN) or _NOT_SIMPLE.search(together) or pc.max(pc.binary_length(words)).as_py() > LEAF:
+            each = words.to_pylist()
+            odd = {i: self.words[w] for i, w in enumerate(each) if w.translate(None, _LATIN) or _NOT_SIMPLE.search(w) or len(w) > LEAF}
+            together = b" ".join(b"" if i in odd else w for i, w in enumerate(each))
+        # A space is a piece without ids, and so parts the words.
+        units = list(map(self.pieces.__getitem__, self.spaced_pieces(together.decode().lower())))
+        n = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        gaps = np.flatnonzero(n == 0)
+        if len(gaps) != len(words) - 1:  # a piece of which the vocabulary has nothing
+            parts = [np.frombuffer(self.words[w], np.int32) if w else np.empty(0, np.int32) for w in words.to_pylist()]
+        else:
+            ids = np.frombuffer(b"".join(units), np.int32)
+            cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], gaps, [len(n)]])]
+            if not odd:
+                return ids, np.diff(cuts)
+            parts = np.split(ids, cuts[1:-1])
+            for i, unit in odd.items():
+                parts[i] = np.frombuffer(unit, np.int32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
     def text_tree(self, text: bytes, leaf: int = TEXT_LEAF) -> list[bytes]:
         """Tree concatenation of a long text: its leaves are encoded by themselves, then neighbours are joined level by level."""
         simple = not text.translate(None, _LATIN) and not _NOT_SIMPLE.search(text)
@@ -270,6 +320,6 @@ class WordBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
+def word_bpe(path: str, cache: int = CACHE) -> WordBpe:
     """One encoder for each worker process and file."""
-    return WordBpe(path)
+    return WordBpe(path, cache)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -151,3 +152,22 @@ def test_files(spark, library, tmp_path):
     assert op05_ids.round_trip(df.limit(0)).count() == 0
     none = spark.createDataFrame([(None, "the"), (0, "of")], "doc_id long, text string")
     assert sorted((r.start, r.doc_id) for r in op05_ids.round_trip(none).collect()) == [(0, None), (2, 0)]
+
+
+def test_texts_are_encoded_together_as_the_library_does(library):
+    """Each word is looked up once, whatever texts it is in; letters whose lower case is no simple Latin letter stay within their words."""
+    odd = [None, "", "  ", " a\x0bb\x0c \tc\r\n", "Ɓa xƁa Ⱥ", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "İstanbul é", "日本語 text 한국", "é É", "x" * 5000 + " y", "don't DON'T 's,'s"]
+    odd += ["a b c\u0085d\x1ce", "\x7f \x00 z", "1234 ½ ²³", "naïve Straße ǅ ŉ", "tail\n", prose(random.Random(1), 3000), "a, b. A, a b"]
+    mine, seen = WordBpe(PATH), []
+    pieces, mine.pieces.make = mine.pieces.make, lambda p: seen.append(p) or pieces(p)
+    mine.pieces.most = 20  # words come and go
+    for more in ((1,), (), (1, 2)):
+        for some in (*([x] for x in odd), odd, odd[:9] * 2, odd[5:]):
+            got = mine.encode_all(pa.array([(x or "").encode() for x in some], pa.binary()), more)
+            assert [g.tolist() for g in got] == [[*library.encode(x or "", add_special_tokens=False).ids, *more] for x in some]
+            assert [g.tolist() for g in got] == [mine.encode((x or "").encode(), more).tolist() for x in some]
+    mine.pieces.most = 10**6
+    seen.clear()
+    mine.encode_all(pa.array([b"zyzzyva quux", b"quux, zyzzyva"] * 50, pa.binary()))
+    assert len(seen) == len(set(seen)) <= 4
+    assert mine.encode_all(pa.array([], pa.binary())) == []
