@@ -13,27 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.bitmap import bitmap, in_bitmap  # noqa: F401
-from seqloom.session import ship
-
-#: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch stays small.
-ARROW_ROWS = 256
-#: Bytes of an Arrow batch: where texts are long, it has fewer rows.
-ARROW_BYTES = 4 << 20
-
+from seqloom.session import ARROW_BYTES, small_batches  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Prepare a session for Python workers: they get this package, and batches of long texts that fit in memory."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one in ``spark.checkpoint.dir``.
 

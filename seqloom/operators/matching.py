@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.bitmap import bitmap, in_bitmap
 from seqloom.functions.sequence import ASCII_FOLD, ascii_lower
 from seqloom.operators.patterns import MULTI, PatternList
-from seqloom.session import ship
+from seqloom.session import small_batches
 
 #: Up to this many patterns the predicate is a chain of ``contains``.
 NATIVE_PATTERNS = 13
@@ -81,7 +81,7 @@ def automaton(patterns: tuple[str, ...], fold: bool) -> Automaton:
 
 
 def _shared(df: DataFrame, q: PatternList):
-    ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast((q.patterns, q.case_insensitive))
 
 
@@ -175,7 +175,7 @@ def hits_by_join(df: DataFrame, patterns: DataFrame) -> DataFrame:
     keeps most windows that are no pattern in the workers. A frequent window meets a pattern once, and AQE
     splits its partition.
     """
-    ship(df.sparkSession)
+    small_batches(df.sparkSession)
     patterns = patterns.where("pattern <> ''").select("pattern").distinct()
 
     def hashed(batches):
